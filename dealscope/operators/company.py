@@ -11,7 +11,7 @@ from dealscope.sources.tables import SourceTables
 
 def _is_kind(kind: str, ignore_case: bool) -> Column:
     entity = F.col("entity_type")
-    return (F.collate(entity, F.lit("UTF8_LCASE")) if ignore_case else entity) == F.lit(kind)
+    return (F.collate(entity, "UTF8_LCASE") if ignore_case else entity) == F.lit(kind)
 
 
 def companies(objects: DataFrame, ignore_case: bool = False) -> DataFrame:

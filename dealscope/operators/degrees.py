@@ -58,12 +58,13 @@ def degree_pivot(counts: DataFrame, listed: Sequence[str] = DEGREES) -> DataFram
 def fill_no_company(data: DataFrame, wide: DataFrame, listed: Sequence[str] = DEGREES) -> DataFrame:
     """Give rows without a company the counts of the relationships without a company.
 
-    Those counts are a global aggregate, one row by construction, so they are broadcast.
+    Those counts are a global aggregate, one row by construction, so they are broadcast. The
+    flag they join on is computed, since a constant would turn the join into nested loops.
     """
     names = degree_columns(listed)
     spare = (wide.filter(F.col("company_id").isNull())
-             .agg(*[F.sum(name).alias(f"_{name}") for name in names])
-             .withColumn("_no_company", F.lit(True)))
+             .agg((F.count("*") >= 0).alias("_no_company"),
+                  *[F.sum(name).alias(f"_{name}") for name in names]))
     joined = data.join(F.broadcast(spare), data["company_id"].isNull() == F.col("_no_company"), "left")
     return joined.withColumns({name: F.coalesce(F.col(name), F.col(f"_{name}")) for name in names}).drop(
         "_no_company", *[f"_{name}" for name in names])

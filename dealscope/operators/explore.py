@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dealscope.functions.scalars import age_bucket, no_nan
+from dealscope.functions.scalars import age_bucket
 from dealscope.schemas import ECONOMIC_COLUMNS, LABEL, NUMERIC_GAP_COLUMNS
 
 Z_95 = 1.96
@@ -81,42 +81,50 @@ def category_rates(df: DataFrame, by: str = "category_code", label: str = LABEL)
 
 
 def correlations(df: DataFrame, columns: Sequence[str] = NUMERIC_GAP_COLUMNS) -> DataFrame:
-    """Pearson correlation of every pair over the rows that know both, in one pass."""
+    """Pearson correlation of every pair over the rows that know both, in one pass.
+
+    NULL where a side is constant. Built from sums of squares, because the built-in function
+    fails on a constant side when divisions by zero are errors.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    once = df.agg(*[no_nan(F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs])
-    cells = [(a, b, f"{a}|{b}") for a, b in pairs] + [(b, a, f"{a}|{b}") for a, b in pairs if a != b]
-    return once.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"`{name}`").alias("r"))
-        for a, b, name in cells])))
+    once = df.agg(*[F.expr(
+        f"try_divide(regr_sxy({a}, {b}), sqrt(regr_sxx({a}, {b})) * sqrt(regr_syy({a}, {b})))").alias(f"{a}|{b}")
+        for a, b in pairs])
+    cells = once.unpivot([], list(once.columns), "pair", "r").select(
+        F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"),
+        F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
+    forward = F.struct(F.col("a").alias("column_a"), F.col("b").alias("column_b"), "r")
+    backward = F.struct(F.col("b").alias("column_a"), F.col("a").alias("column_b"), "r")
+    return cells.select(F.inline(
+        F.when(F.col("a") == F.col("b"), F.array(forward)).otherwise(F.array(forward, backward))))
 
 
 def completeness(df: DataFrame) -> DataFrame:
     """Share of known values per column."""
     once = df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in df.columns])
-    return once.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("completeness")) for c in df.columns])))
+    return once.unpivot([], list(once.columns), "column_name", "completeness")
 
 
 def _binned(df: DataFrame, columns: Sequence[str], label: str, bins: int) -> DataFrame:
     """Complete cases reduced to counts per label and combination of equal-width bins.
 
-    The limits are one global aggregate, a single row, so they are broadcast. Everything
-    after this works on combinations of bins instead of rows.
+    One job finds the limits, a single row. Everything after this works on combinations of
+    bins instead of rows.
     """
     cases = complete_cases(df, (*columns, label))
-    limits = (cases.agg(*[F.min(c).cast("double").alias(f"_low_{c}") for c in columns],
-                        *[F.max(c).cast("double").alias(f"_high_{c}") for c in columns])
-              .withColumn("_all", F.lit(True)))
-    ranged = cases.withColumn("_all", F.lit(True)).join(F.broadcast(limits), "_all")
-    return ranged.groupBy(label, *[
-        _bin(F.col(c).cast("double"), F.col(f"_low_{c}"), F.col(f"_high_{c}"), bins).alias(c)
-        for c in columns]).agg(F.count("*").alias("_n"))
+    row = cases.agg(*[F.min(c).cast("double").alias(f"low_{c}") for c in columns],
+                    *[F.max(c).cast("double").alias(f"high_{c}") for c in columns]).first()
+    return cases.groupBy(label, *[
+        _bin(F.col(c).cast("double"), row[f"low_{c}"], row[f"high_{c}"], bins).alias(c) for c in columns
+    ]).agg(F.count("*").alias("_n"))
 
 
-def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
+def _bin(value: Column, low: float | None, high: float | None, bins: int) -> Column:
     """Bin 0 to ``bins`` - 1; the highest value falls in the last bin, a constant in the first."""
-    at = F.floor((value - low) / (high - low) * F.lit(bins))
-    return F.when(high > low, F.least(at, F.lit(bins - 1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+    if low is None or low == high:
+        return F.lit(0).cast("bigint")
+    at = F.floor((value - F.lit(low)) / F.lit(high - low) * F.lit(bins))
+    return F.least(at, F.lit(bins - 1).cast("bigint"))
 
 
 def histograms(df: DataFrame, columns: Sequence[str] = ECONOMIC_COLUMNS, label: str = LABEL,

@@ -12,6 +12,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dealscope.operators.robust_line import fit_line
+from dealscope.session import stage
 
 
 class ConstantImputer(Transformer, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -106,7 +107,7 @@ class FundImputer(Estimator, _LineParams, DefaultParamsReadable, DefaultParamsWr
 
     def _fit(self, df: DataFrame) -> "FundImputerModel":
         rounds, funded, out = self._names()
-        line = fit_line(funds_by_rounds(df, rounds, funded), rounds, funded)
+        line = fit_line(stage(funds_by_rounds(df, rounds, funded), "points"), rounds, funded)
         return FundImputerModel(inputCol=rounds, targetCol=funded, outputCol=out,
                                 slope=line.slope, intercept=line.intercept)
 

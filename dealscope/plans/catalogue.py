@@ -22,8 +22,8 @@ CATALOGUE: dict[str, Query] = {}
 # Small settings: one candidate per family. The full grid is a parameter of the model job.
 SMALL_GRID = (
     search.Candidate.of("gbt", trees=10, depth=5),
-    search.Candidate.of("rbf_svm", cost=1, gamma=search.AUTO, size=256, steps=40),
-    search.Candidate.of("poly_svm", cost=1, gamma=search.AUTO, degree=3, size=256, steps=60),
+    search.Candidate.of("rbf_svm", cost=1, gamma=search.AUTO, steps=40),
+    search.Candidate.of("poly_svm", cost=1, gamma=search.AUTO, degree=3),
     search.Candidate.of("mlp", layers=(25,), steps=40),
 )
 

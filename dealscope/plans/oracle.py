@@ -131,7 +131,7 @@ def robust_line_ctes(name: str, points: str) -> str:
   order by n desc, case when spread > 0 then 1 - error / (spread * n) else 0 end desc, id limit 1),
 {name} as (
   select regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, count(*) as inliers
-  from {name}_p, {name}_b, {name}_t where abs(y - (m * x + b)) <= t)"""
+  from {name}_p cross join {name}_t left join {name}_b on true where m is null or abs(y - (m * x + b)) <= t)"""
 
 
 FUND_LINE = robust_line_ctes("fund_line", """

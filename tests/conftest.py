@@ -1,0 +1,34 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from dealscope.operators.cleaning import company_features  # noqa: E402
+from dealscope.session import local_session, stage  # noqa: E402
+from dealscope.sources.sample import sample_tables  # noqa: E402
+
+TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(8, "dealscope-tests", memory="6g")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def folder():
+    return f"{TESTDATA}/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def tables(spark, folder):
+    return sample_tables(spark, folder)
+
+
+@pytest.fixture(scope="session")
+def features(tables):
+    return stage(company_features(tables), "test-features")

@@ -1,0 +1,201 @@
+"""Preprocessing stages, feature maps, classifier families and the search."""
+
+import numpy as np
+import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from dealscope.operators import imputers, search
+from dealscope.operators.encoding import OnceFittedBinarizer, PopulationScaler
+from dealscope.operators.kernels import FourierFeatures, PolynomialFeatures
+from dealscope.operators.metrics import classification_metrics
+from dealscope.operators.preprocess import VECTOR_ORDER, fit_binarizers, preprocessing, vector_width
+from dealscope.operators.robust_line import fit_line
+from dealscope.operators.search import Candidate
+
+
+def texts(spark, values, name="c"):
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+def hot(model, df):
+    return [list(r[0]) for r in model.transform(df).select(vector_to_array(model.getOutputCol())).collect()]
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_one_hot(spark, sparse):
+    binarizer = OnceFittedBinarizer(inputCol="c", outputCol="h", sparseOutput=sparse)
+    model = binarizer.fit(texts(spark, ["b", "a", "c", "a"]))
+    assert hot(model, texts(spark, ["a", "c", "zz", None])) == [[1, 0, 0], [0, 0, 1], [0, 0, 0], [0, 0, 0]]
+    two = OnceFittedBinarizer(inputCol="c", outputCol="h", sparseOutput=sparse).fit(
+        texts(spark, ["other", "California"]))
+    assert hot(two, texts(spark, ["California", "other"])) == [[0], [1]]
+
+
+def test_binarizer_keeps_its_first_classes(spark):
+    binarizer = OnceFittedBinarizer(inputCol="c", outputCol="h", negLabel=-1.0, posLabel=2.0)
+    binarizer.fit(texts(spark, ["a", "b", "c"]))
+    again = binarizer.copy().fit(texts(spark, ["a"]))
+    assert hot(again, texts(spark, ["b"])) == [[-1, 2, -1]]
+    with pytest.raises(ValueError):
+        OnceFittedBinarizer(inputCol="c", outputCol="h", negLabel=1.0, posLabel=1.0)
+    with pytest.raises(ValueError):
+        OnceFittedBinarizer(inputCol="c", outputCol="h", negLabel=-1.0, sparseOutput=True)
+
+
+def test_scaler_uses_population_deviation(spark):
+    df = spark.createDataFrame([(v, 4.0) for v in (1.0, 2.0, 3.0, 6.0)], "a double, b double")
+    model = PopulationScaler(inputCols=["a", "b"], outputCols=["x", "y"]).fit(df)
+    rows = model.transform(df).collect()
+    assert [r["y"] for r in rows] == [0.0] * 4
+    values = [r["x"] for r in rows]
+    assert np.mean(values) == pytest.approx(0) and np.std(values) == pytest.approx(1)
+    assert model.getOrDefault(model.scales)[0] == pytest.approx(1.8708, abs=1e-4)
+
+
+def test_constant_imputer(spark):
+    df = spark.createDataFrame([(1.0, 3), (None, None), (float("nan"), 5)], "a double, b long")
+    got = imputers.ConstantImputer(inputCols=["a", "b"], outputCols=["x", "y"], value=0).transform(df).collect()
+    assert [(r["x"], r["y"]) for r in got] == [(1.0, 3), (0.0, 0), (0.0, 5)]
+    swapped = imputers.ConstantImputer(inputCols=["b"], outputCols=["b"], value=9, missingValue=3).transform(df)
+    assert [r["b"] for r in swapped.collect()] == [9, None, 5]
+
+
+def test_mode_imputer_breaks_ties_by_value(spark):
+    df = texts(spark, ["b", "a", None, "b", "a", "c"])
+    model = imputers.ModeImputer(inputCols=["c"], outputCols=["f"]).fit(df)
+    assert model.transform(df).filter("c is null").first()["f"] == "a"
+    with pytest.raises(ValueError):
+        imputers.ModeImputer(inputCols=["c"], outputCols=["f"]).fit(texts(spark, [None]))
+
+
+def test_robust_line_ignores_outliers(spark):
+    points = [(float(x), 2.0 * x + 1) for x in range(80)] + [(float(x), 5000.0 - 40 * x) for x in range(20)]
+    line = fit_line(spark.createDataFrame(points, "x double, y double"), "x", "y")
+    assert line.slope == pytest.approx(2) and line.intercept == pytest.approx(1)
+    assert fit_line(spark.createDataFrame(points[::-1], "x double, y double").repartition(7), "x", "y").inliers \
+        == line.inliers
+
+
+def test_robust_line_edges(spark):
+    one = fit_line(spark.createDataFrame([(3.0, 7.0)], "x double, y double"), "x", "y")
+    assert (one.slope, one.intercept) == (0.0, 7.0)
+    flat = fit_line(spark.createDataFrame([(1.0, 2.0), (1.0, 4.0), (1.0, None)], "x double, y double"), "x", "y")
+    assert flat.intercept == pytest.approx(3.0)
+    with pytest.raises(ValueError):
+        fit_line(spark.createDataFrame([(None, 2.0)], "x double, y double"), "x", "y")
+
+
+def test_medians_from_a_sketch_give_the_same_line(spark, features, monkeypatch):
+    from dealscope.operators import robust_line
+    exact = fit_line(features, "total_rounds", "average_funded")
+    monkeypatch.setattr(robust_line, "EXACT_MEDIAN_ROWS", 0)
+    sketched = fit_line(features, "total_rounds", "average_funded")
+    assert sketched.inliers == pytest.approx(exact.inliers, rel=0.01)
+
+
+def test_funds_from_rounds(spark):
+    rows = [(n, 100.0 * n) for n in range(1, 12) for _ in range(n)] + [(5, None), (20, None), (30, None)]
+    df = spark.createDataFrame(rows, "total_rounds long, average_funded double")
+    filled = imputers.FundImputer(outputCol="f").fit(df).transform(df).filter("average_funded is null").collect()
+    assert {r["total_rounds"]: round(r["f"], 6) for r in filled} == {5: 500.0, 20: 2000.0, 30: 3000.0}
+
+
+def test_only_zero_participants_of_funded_companies_change(spark):
+    known = [(10.0 * n, 1.0 * n) for n in range(1, 20)]
+    df = spark.createDataFrame([*known, (10.0, 0.0), (None, 0.0), (10.0, 3.0), (10.0, None)],
+                               "average_funded double, average_participants double")
+    filled = imputers.ParticipantsImputer(outputCol="p").fit(df).transform(df).collect()[len(known):]
+    slope, intercept = np.polyfit(*zip(*known, (10.0, 3.0)), 1)  # all 20 known points lie near the line
+    assert filled[0]["p"] == pytest.approx(slope * 10 + intercept)
+    assert [r["p"] for r in filled[1:]] == [0.0, 3.0, None]
+
+
+def test_vector(features, tmp_path):
+    binarizers = fit_binarizers(features)
+    fitted = preprocessing(binarizers).fit(features)
+    prepared = fitted.transform(features)
+    sizes = prepared.select(F.size(vector_to_array("features")).alias("n")).distinct().collect()
+    assert [r["n"] for r in sizes] == [vector_width(binarizers)] == [5 + 3 + 1 + 13]
+    attributes = prepared.schema["features"].metadata["ml_attr"]["attrs"]["numeric"]
+    assert attributes[0]["name"] == "category_hot_AUTOMOBILE" and len(VECTOR_ORDER) == 16
+    fitted.write().overwrite().save(str(tmp_path / "prep"))
+    again = PipelineModel.load(str(tmp_path / "prep")).transform(features)
+    assert again.select("features").exceptAll(prepared.select("features")).count() == 0
+
+
+def kernel_error(spark, stage, kernel, width=6):
+    random = np.random.default_rng(3)
+    matrix = random.normal(size=(12, width))
+    df = spark.createDataFrame([(Vectors.dense(row),) for row in matrix], ["features"])
+    mapped = np.stack([r[0] for r in stage.transform(df).select(vector_to_array("mapped")).collect()])
+    return np.abs(mapped @ mapped.T - kernel(matrix)).max()
+
+
+def test_fourier_features_estimate_the_kernel(spark):
+    def rbf(m):
+        return np.exp(-0.2 * ((m[:, None] - m[None]) ** 2).sum(-1))
+    assert kernel_error(spark, FourierFeatures(gamma=0.2, numFeatures=20_000), rbf) < 0.05
+
+
+def test_polynomial_features_estimate_the_kernel(spark):
+    def poly(m):
+        return (0.2 * m @ m.T) ** 3
+    assert kernel_error(spark, PolynomialFeatures(gamma=0.2, degree=3, numFeatures=40_000), poly) < 0.8
+
+
+def test_class_weights(spark):
+    df = spark.createDataFrame([(True,)] + [(False,)] * 3, "is_acquired boolean")
+    got = {r["is_acquired"]: (r["rows"], r["weight"]) for r in search.class_weights(df).collect()}
+    assert got == {True: (1, 2.0), False: (3, pytest.approx(2 / 3))}
+
+
+def test_grid_sizes():
+    families = [c.family for c in search.full_grid()]
+    assert {f: families.count(f) for f in set(families)} == {"gbt": 12, "rbf_svm": 35, "poly_svm": 105, "mlp": 9}
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """A label that depends on x times y, which no linear rule finds."""
+    random = np.random.default_rng(5)
+    rows = []
+    for x, y in random.normal(size=(600, 2)):
+        rows.append((Vectors.dense([float(x), float(y)]), float(x * y > 0)))
+    df = spark.createDataFrame(rows, ["features", "label"])
+    weighted, count = search.with_weights(df)
+    return weighted.cache(), count
+
+
+@pytest.mark.parametrize("candidate", [
+    Candidate.of("gbt", trees=5, depth=4),
+    Candidate.of("rbf_svm", cost=10, gamma=1, size=128, steps=30),
+    Candidate.of("poly_svm", cost=10, gamma=search.AUTO, degree=4, size=256, steps=50),
+    Candidate.of("mlp", layers=(25,), steps=60),
+], ids=lambda c: c.family)
+def test_families_find_the_signal(planted, candidate):
+    rows, count = planted
+    model = candidate.estimator(2, count).fit(rows)
+    f1 = classification_metrics(model.transform(rows)).first()["f1"]
+    assert f1 > 0.8  # always positive gives 0.67
+
+
+def test_search_report_and_chances(spark, features):
+    binarizers = fit_binarizers(features)
+    grid = [Candidate.of("mlp", layers=(5,), steps=10), Candidate.of("gbt", trees=2, depth=3)]
+    found = search.grid_search(features, binarizers, grid)
+    scores = found.scores.collect()
+    assert [r["family"] for r in scores] == ["mlp", "gbt"] and all(len(r["fold_f1"]) == 3 for r in scores)
+    assert found.best_score == max(r["mean_f1"] for r in scores)
+    assert search.evaluate(found.model, features).first()["f1"] > 0.6
+    chances = search.acquisition_chance(found.model, features)
+    assert chances.columns == ["company_id", "chance_percent"] and chances.count() == features.count()
+    assert chances.filter("chance_percent < 0 or chance_percent > 100").count() == 0
+
+
+def test_margin_models_have_no_chances(features):
+    model = search.fit_model(features, fit_binarizers(features), Candidate.of("rbf_svm", cost=1, gamma=0.1, size=16, steps=2))
+    with pytest.raises(ValueError):
+        search.acquisition_chance(model, features)

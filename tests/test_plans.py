@@ -1,0 +1,66 @@
+"""Plans of the feature job hold what the design promises."""
+
+import re
+
+import pytest
+
+from dealscope.operators.cleaning import company_features
+from dealscope.operators.company import compact_base
+from dealscope.operators.degrees import degrees_by_company
+from dealscope.sources.tables import land_database
+
+
+@pytest.fixture
+def sort_merge(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_pairs_and_no_python(tables):
+    text = plan(company_features(tables))
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython"):
+        assert word not in text
+
+
+def test_companies_are_shuffled_once(tables, sort_merge):
+    wide = degrees_by_company(tables.relationships, tables.degrees)
+    text = plan(compact_base(tables, wide))
+    exchanges = re.findall(r"hashpartitioning\((\w+)#", text)
+    # id is moved once; every other exchange belongs to an aggregate or to counted events
+    assert exchanges.count("company_id") + exchanges.count("id") <= 4
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    left_to_join = text.split("SortMergeJoin")[-1]
+    assert left_to_join.count("Exchange hashpartitioning(company_id") <= 2
+
+
+def test_scans_read_used_columns_and_push_filters(spark, tables, tmp_path):
+    from dealscope.sources.tables import land_parquet
+    landed = land_parquet(tables, str(tmp_path / "landed"))
+    text = landed_text = plan(company_features(landed))
+    assert "PushedFilters: [IsNotNull(entity_type), EqualTo(entity_type,Company)" in text
+    assert "EqualTo(entity_type,Product)" in text and "IsNotNull(parent_id)" in text
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", landed_text)
+    products = [s for s in schemas if "parent_id" in s]
+    assert products and all(s.count(":") == 2 for s in products)
+    offices = [s for s in schemas if s == "object_id:bigint"]
+    assert offices
+    assert any("IsNull(relationship_object_id)" in line for line in text.splitlines())
+
+
+def test_bucketed_objects_are_not_shuffled(spark, tables, sort_merge, tmp_path):
+    spark.sql(f"create database if not exists landed location '{tmp_path}/landed'")
+    try:
+        landed = land_database(tables, "landed", buckets=8)
+        assert company_features(landed).count() == 1394
+        text = plan(compact_base(landed))
+        scan = text[text.index("EqualTo(entity_type,Company)") - 1200:]
+        assert "Bucketed: true" in scan
+        assert not re.search(r"hashpartitioning\(company_id#\d+L, 8\), ENSURE_REQUIREMENTS, \[plan_id=\d+\]\s+\+- "
+                             r"\*?\(?\d*\)?\s*Project \[id#", text)
+    finally:
+        spark.sql("drop database landed cascade")

@@ -1,0 +1,95 @@
+"""One company, person or row content holding a large part of all rows."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from dealscope.operators import company, copies, degrees, split
+from dealscope.operators.copies import unroll
+
+
+def company_frame(spark, ids):
+    df = spark.createDataFrame([(i,) for i in ids], "company_id long")
+    return df
+
+
+def test_fan_out_equals_a_plain_join(spark):
+    day = dt.date(2000, 1, 1)
+    hot = [(1, 5, day)] * 3000 + [(1, 6, None)] * 20 + [(2, 5, day)] * 2 + [(None, 1, day)] * 9
+    acquisitions = spark.createDataFrame(hot, "acquired_object_id long, acquiring_object_id long, acquired_at date")
+    ipos = spark.createDataFrame([(1, day)] * 3 + [(3, day), (3, None)], "object_id long, public_at date")
+    base = company_frame(spark, [1, 2, 3, 4])
+    got = company.join_ipos(company.join_acquisitions(base, acquisitions), ipos)
+    plain = (base.join(acquisitions, base.company_id == acquisitions.acquired_object_id, "left")
+             .join(ipos, base.company_id == ipos.object_id, "left").select("company_id", "acquired_at", "public_at"))
+    assert got.count() == plain.count() == 3020 * 3 + 2 + 2 + 1
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("spread", [(), ("key",)])
+def test_unroll_counts(spark, spread, monkeypatch):
+    monkeypatch.setattr(copies, "CHUNK", 7)
+    df = spark.createDataFrame([(1, 1), (2, 7), (3, 8), (4, 50), (None, 3)], "key int, n int")
+    out = unroll(df, F.col("n").cast("bigint"), spread)
+    assert out.columns == ["key", "n"]
+    assert all(r["n"] == r["count"] for r in out.groupBy("key", "n").count().collect())
+
+
+def test_hot_row_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(copies, "CHUNK", 100)
+    df = spark.createDataFrame([(1, 20_000)], "key int, n bigint")
+    sizes = (unroll(df, F.col("n"), ("key",)).groupBy(F.spark_partition_id().alias("p")).count()
+             .toPandas()["count"])
+    assert sizes.sum() == 20_000 and sizes.max() < 10_000
+
+
+def test_rows_without_company_are_spread(spark):
+    data = spark.range(5000).select(F.lit(None).cast("long").alias("company_id"), F.col("id").alias("x"))
+    wide = spark.createDataFrame([(None, 7, 1, 1, 1), (1, 8, 1, 1, 1)], "company_id long, mba_degree long, "
+                                 "phd_degree long, ms_degree long, other_degree long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = degrees.extract_degrees(data, wide)
+        sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
+        assert sizes.sum() == 5000 and sizes.max() < 2500
+        assert joined.filter("mba_degree = 7").count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def hot_rows(spark):
+    """A third of the rows are equal."""
+    return spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("company_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(False)).otherwise(F.col("id") % 5 == 0).alias("is_acquired"))
+
+
+@pytest.mark.parametrize("ranked", [50_000, 1])
+def test_split_of_equal_rows_is_exact(spark, tmp_path, ranked, monkeypatch):
+    monkeypatch.setattr(split, "RANKED_ROWS", ranked)
+    path = str(tmp_path / "rows")
+    hot_rows(spark).write.parquet(path)
+    rows = spark.read.parquet(path)
+    counts = {r["is_acquired"]: r["count"] for r in rows.groupBy("is_acquired").count().collect()}
+    for seed in range(3):
+        parts = split.stratified_split(rows, seed=seed)
+        got = {(r["is_acquired"], r["split"]): r["count"]
+               for r in parts.groupBy("is_acquired", "split").count().collect()}
+        want = split.holdout_quotas(counts)
+        assert got == {(label, part): n for label, sizes in want.items() for part, n in zip(("test", "train"), sizes)}
+        back = parts.drop("split")
+        assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
+
+
+@pytest.mark.parametrize("ranked", [50_000, 1])
+def test_cut_inside_equal_rows(spark, tmp_path, ranked, monkeypatch):
+    """Every fold border falls into a block of equal rows."""
+    monkeypatch.setattr(split, "RANKED_ROWS", ranked)
+    path = str(tmp_path / "rows")
+    spark.range(1000).select(F.lit(7).alias("company_id"), (F.col("id") < 10).alias("is_acquired")).write.parquet(path)
+    folds = split.stratified_folds(spark.read.parquet(path))
+    got = {(r["is_acquired"], r["fold"]): r["count"] for r in folds.groupBy("is_acquired", "fold").count().collect()}
+    assert got == {(False, 0): 330, (False, 1): 330, (False, 2): 330, (True, 0): 4, (True, 1): 3, (True, 2): 3}

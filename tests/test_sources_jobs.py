@@ -1,0 +1,90 @@
+"""Sources, sinks and the three jobs end to end."""
+
+import datetime as dt
+
+import pytest
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from dealscope import session
+from dealscope.operators.search import Candidate
+from dealscope.plans import jobs
+from dealscope.schemas import FEATURE_COLUMNS, features_schema
+from dealscope.sources import files, tables as source
+
+
+def test_conform_types_text_dates_and_missing_numbers(spark):
+    raw = spark.createDataFrame([("a", "2010-02-03"), ("b", "never"), ("c", None)], "object_id string, public_at string")
+    assert [r["public_at"] for r in source.conform("ipos", raw).collect()] == [dt.date(2010, 2, 3), None, None]
+    rounds = spark.createDataFrame([(1, float("nan"), 2, "x")],
+                                   "object_id long, raised_amount_usd double, participants int, note string")
+    row = source.conform("funding_rounds", rounds).first()
+    assert row["raised_amount_usd"] is None and "note" not in row.asDict()
+    with pytest.raises(ValueError):
+        source.conform("ipos", rounds)
+
+
+class Recorder:
+    """Stands in for a session and keeps how it was asked to read."""
+
+    def __init__(self):
+        self.read = self
+
+    def jdbc(self, *args, **options):
+        self.args, self.options = args, options
+        return self
+
+
+def test_relational_reads_are_spread():
+    spark = Recorder()
+    source.read_jdbc(spark, "jdbc:mysql://host/db", "db", "offices", 4, {"user": "u"})
+    assert spark.args == ("jdbc:mysql://host/db", "db.cb_offices")
+    assert spark.options["predicates"] == [f"MOD(COALESCE(CRC32(object_id), 0), 4) = {i}" for i in range(4)]
+    source.read_jdbc(spark, "url", "db", "offices", 4, bounds=("id", 0, 100))
+    assert spark.options["numPartitions"] == 4 and spark.options["column"] == "id"
+
+
+def test_landing(tables, tmp_path):
+    landed = source.land_parquet(tables, str(tmp_path / "landed"))
+    for name in source.SOURCE_COLUMNS:
+        assert getattr(landed, name).exceptAll(getattr(tables, name)).count() == 0
+        assert getattr(landed, name).count() == getattr(tables, name).count()
+
+
+def test_csv_keeps_values_and_gaps(spark, features, tmp_path):
+    path = str(tmp_path / "csv")
+    files.write_csv(features, path)
+    back = files.read_csv(spark, path)
+    assert back.schema == features_schema()
+    assert back.exceptAll(features).count() == 0 and features.exceptAll(back).count() == 0
+
+
+def test_shared_folder_is_the_sessions(spark):
+    folder = session.shared_dir(spark)
+    assert folder == spark.conf.get("spark.checkpoint.dir", folder)
+    assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+
+
+def test_jobs(spark, tables, tmp_path):
+    folder = str(tmp_path / "out")
+    features = jobs.feature_job(tables, folder, csv=True)
+    assert tuple(features.columns) == FEATURE_COLUMNS and features.count() == 1394
+    train, test = [files.read_part(spark, f"{folder}/split", part) for part in ("train", "test")]
+    assert train.columns[-1] == test.columns[-1] == "is_acquired"
+    assert (train.count(), test.count()) == (1115, 279)
+    order = [c for c in FEATURE_COLUMNS if c != "is_acquired"] + ["is_acquired"]
+    schema = type(features.schema)([features.schema[c] for c in order])
+    text = files.read_part(spark, f"{folder}/split_csv", "test", schema=schema, format="csv")
+    assert text.exceptAll(test).count() == 0 and text.count() == 279
+
+    profiles = jobs.explore_job(spark, folder)
+    assert profiles["profile"].first()["total_companies"] == 1394
+    assert all(df.count() > 0 for df in profiles.values())
+
+    report, model = jobs.model_job(spark, folder, [Candidate.of("gbt", trees=3, depth=3)])
+    row = report.first()
+    assert row["family"] == "gbt" and row["f1"] > 0.6
+    assert spark.read.parquet(f"{folder}/chances").count() == 1394
+    assert spark.read.parquet(f"{folder}/scores").count() == 1
+    again = PipelineModel.load(f"{folder}/model").transform(test).select("prediction")
+    assert again.exceptAll(model.transform(test).select("prediction")).count() == 0

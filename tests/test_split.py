@@ -1,0 +1,62 @@
+"""Part sizes and reproducibility of splits and folds."""
+
+from hypothesis import given, strategies as st
+from pyspark.sql import functions as F
+
+from dealscope.operators import split
+
+COUNTS = st.dictionaries(st.sampled_from([True, False, "a"]), st.integers(1, 10 ** 12), min_size=1)
+
+
+@given(COUNTS, st.floats(0.01, 0.99))
+def test_holdout_quotas_add_up(counts, size):
+    quotas = split.holdout_quotas(counts, size)
+    assert {label: sum(q) for label, q in quotas.items()} == counts
+    assert all(n >= 0 for q in quotas.values() for n in q)
+
+
+@given(COUNTS, st.integers(2, 10))
+def test_fold_quotas_add_up(counts, folds):
+    for label, sizes in split.fold_quotas(counts, folds).items():
+        assert sum(sizes) == counts[label] and max(sizes) - min(sizes) <= 1
+
+
+def test_known_quotas():
+    assert split.holdout_quotas({False: 1082, True: 312}) == {False: [217, 865], True: [62, 250]}
+
+
+def test_split_is_a_partition_and_repeatable(features):
+    once, again = split.stratified_split(features), split.stratified_split(features)
+    assert once.exceptAll(again).count() == 0 and again.exceptAll(once).count() == 0
+    assert once.drop("split").exceptAll(features).count() == 0 and once.count() == features.count()
+    other = split.stratified_split(features, seed=1)
+    assert once.exceptAll(other).count() > 0
+
+
+def test_narrowing_gives_the_same_parts(features, monkeypatch):
+    plain = split.stratified_folds(features)
+    monkeypatch.setattr(split, "RANKED_ROWS", 1)
+    narrowed = split.stratified_folds(features)
+    assert plain.exceptAll(narrowed).count() == 0 and narrowed.exceptAll(plain).count() == 0
+
+
+def test_key_survives_the_order_of_summation(spark):
+    df = spark.createDataFrame([(0.1 + 0.2, None), (0.3, None)], "x double, y string")
+    assert df.select(split.row_hash(df)).distinct().count() == 1
+
+
+def test_train_matrix_puts_the_label_last(features):
+    matrix = split.train_matrix(features)
+    assert matrix.columns[-1] == "is_acquired" and "company_id" not in matrix.columns
+    assert len(matrix.columns) == 17
+
+
+def test_too_many_labels(spark):
+    import pytest
+    df = spark.range(70).select(F.col("id").alias("company_id"), F.col("id").alias("is_acquired"))
+    with pytest.raises(ValueError):
+        old, split.CELLS_PER_PASS = split.CELLS_PER_PASS, 1
+        try:
+            split.stratified_split(df)
+        finally:
+            split.CELLS_PER_PASS = old
