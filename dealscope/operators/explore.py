@@ -13,6 +13,8 @@ from dealscope.schemas import ECONOMIC_COLUMNS, LABEL, NUMERIC_GAP_COLUMNS
 
 Z_95 = 1.96
 BINS = 10
+# Share of a sum of squares below which its spread is rounding error.
+ROUNDING = 1e-12
 
 
 def _rate(label: str = LABEL) -> Column:
@@ -81,22 +83,32 @@ def category_rates(df: DataFrame, by: str = "category_code", label: str = LABEL)
 
 
 def correlations(df: DataFrame, columns: Sequence[str] = NUMERIC_GAP_COLUMNS) -> DataFrame:
-    """Pearson correlation of every pair over the rows that know both, in one pass.
+    """Pearson correlation of every pair over the rows that know both; NULL where a side is constant.
 
-    NULL where a side is constant. Built from sums of squares, because the built-in function
-    fails on a constant side when divisions by zero are errors.
+    Each row is repeated once per column and the sums of its pairs are grouped by that
+    column. That keeps the number of sums per group small enough for generated code, which a
+    single aggregate over all pairs is not. A first pass finds the means, to sum around them.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    once = df.agg(*[F.expr(
-        f"try_divide(regr_sxy({a}, {b}), sqrt(regr_sxx({a}, {b})) * sqrt(regr_syy({a}, {b})))").alias(f"{a}|{b}")
-        for a, b in pairs])
-    cells = once.unpivot([], list(once.columns), "pair", "r").select(
-        F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"),
-        F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
-    forward = F.struct(F.col("a").alias("column_a"), F.col("b").alias("column_b"), "r")
-    backward = F.struct(F.col("b").alias("column_a"), F.col("a").alias("column_b"), "r")
-    return cells.select(F.inline(
-        F.when(F.col("a") == F.col("b"), F.array(forward)).otherwise(F.array(forward, backward))))
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    centred = df.select(*[(F.col(c) - F.lit(means[c])).alias(f"b{i}") for i, c in enumerate(columns)])
+    sides = [f"b{i}" for i in range(len(columns))]
+    paired = centred.unpivot(sides, sides, "side", "a").filter(F.col("a").isNotNull())
+    sums = paired.groupBy("side").agg(*[F.expr(text).alias(f"{name}_{b}") for b in sides for name, text in (
+        ("n", f"count({b})"), ("sb", f"sum({b})"), ("sbb", f"sum({b} * {b})"), ("sab", f"sum(a * {b})"),
+        ("sa", f"sum(if({b} is null, null, a))"), ("saa", f"sum(if({b} is null, null, a * a))"))])
+    rows = F.array(*[F.struct(F.lit(name).alias("column_b"), *[
+        F.col(f"{part}_{b}").alias(part) for part in ("n", "sb", "sbb", "sab", "sa", "saa")])
+        for b, name in zip(sides, columns)])
+    named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("side", 2, 9).cast("int") + 1)
+    cells = sums.select(named.alias("column_a"), F.inline(rows))
+
+    def spread(total: str, squares: str) -> Column:
+        rest = F.col(squares) - F.col(total) * F.col(total) / F.col("n")
+        return F.when(rest > F.col(squares) * F.lit(ROUNDING), F.sqrt(rest))
+
+    shared = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
+    r = F.when(F.col("n") > 1, shared / (spread("sa", "saa") * spread("sb", "sbb")))
+    return cells.select("column_a", "column_b", r.alias("r"))
 
 
 def completeness(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from dealscope.operators.copies import unroll
 from dealscope.schemas import LABEL
+from dealscope.session import stage
 
 DIGITS_PER_PASS = 3
 CELLS_PER_PASS = 16 ** DIGITS_PER_PASS
@@ -78,10 +79,10 @@ def quota_split(df: DataFrame, quotas_for: Callable[[dict[object, int]], Quotas]
                 seed: int = 0) -> DataFrame:
     """Add column ``out`` naming each row's part.
 
-    ``quotas_for`` turns the label counts into row counts per label and part. ``df`` is read
-    several times and should be a stored table.
+    ``quotas_for`` turns the label counts into row counts per label and part. Rows are stored
+    once with their hash; the counting passes then read nothing but label and hash.
     """
-    hashed = df.withColumn("_hash", row_hash(df, columns, seed))
+    hashed = stage(df.withColumn("_hash", row_hash(df, columns, seed)), "hashed")
     first = _histogram(hashed, label)
     counts: dict[object, int] = {}
     for row in first:

@@ -73,7 +73,7 @@ def csv_roundtrip(spark, folder):
 @query
 def split_stratified(spark, folder):
     path = scratch_path(spark, "split")
-    write_split(split.train_columns(split.stratified_split(stored(spark, folder))), path)
+    write_split(split.train_columns(split.stratified_split(features(spark, folder))), path)
     parts = [read_part(spark, path, part).withColumn("split", F.lit(part)) for part in ("train", "test")]
     return rounded(parts[0].unionByName(parts[1]))
 
@@ -346,7 +346,7 @@ def feature_vector(spark, folder):
 
 @query
 def stratified_folds(spark, folder):
-    return rounded(split.stratified_folds(stored(spark, folder)))
+    return rounded(split.stratified_folds(features(spark, folder)))
 
 
 @query
