@@ -31,8 +31,8 @@ HOT_COLUMN = {"funding_rounds": "object_id", "acquisitions": "acquired_object_id
               "relationships": "person_object_id"}
 
 
-def multiplied(df: DataFrame, copies: int) -> DataFrame:
-    shifted = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+def multiplied(df: DataFrame, copies: int, files: int) -> DataFrame:
+    shifted = df.repartition(files).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     for key in KEYS:
         if key in df.columns:
             shifted = shifted.withColumn(key, F.col(key) + F.col("_copy") * F.lit(SHIFT))
@@ -63,8 +63,9 @@ def main() -> None:
     spark = local_session(cpus, "dealscope-scale", **{"spark.sql.shuffle.partitions": str(cpus * 4)})
     source = sample_tables(spark, folder)
     tables = SourceTables(**{
-        name: (heated(name, multiplied(getattr(source, name), copies)) if hot
-               else multiplied(getattr(source, name), copies)) for name in SOURCE_COLUMNS})
+        name: multiplied(getattr(source, name), copies, cpus * 4) for name in SOURCE_COLUMNS})
+    if hot:
+        tables = SourceTables(**{name: heated(name, getattr(tables, name)) for name in SOURCE_COLUMNS})
     seconds: dict[str, float] = {}
     landed = timed(seconds, "land", lambda: land_parquet(tables, scratch_path(spark, "scale-tables")))
     path = scratch_path(spark, "scale-features")

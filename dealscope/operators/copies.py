@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-CHUNK = 10_000
+CHUNK = 1_000
 
 
 def events_by_day(events: DataFrame, key: str, day: str, key_as: str, copies: str) -> DataFrame:
@@ -25,17 +25,16 @@ def unroll(df: DataFrame, copies: Column, spread_by: Sequence[str] = ()) -> Data
     """Repeat each row ``copies`` times.
 
     Rows are first cut into chunks of at most ``CHUNK`` copies and the chunks are spread over
-    tasks by ``spread_by``, so no task has to emit a hot row's copies alone. The number of
-    partitions is stated: left to itself, the runtime would merge partitions by their size
-    before unrolling. Without ``spread_by`` rows are repeated where they are.
+    tasks by ``spread_by``, so no task has to emit a hot row's copies alone. Chunks are small
+    because partitions may be merged at run time by their size before unrolling. Without
+    ``spread_by`` rows are repeated where they are.
     """
     if not spread_by:
         return (df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy"))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = (df.withColumn("_copies", copies)
              .withColumn("_chunk", F.explode(F.sequence(
                  F.lit(0), F.floor((F.col("_copies") - 1) / F.lit(CHUNK)).cast("bigint"))))
-             .repartition(partitions, *spread_by, "_chunk"))
+             .repartition(*spread_by, "_chunk"))
     left = F.col("_copies") - F.col("_chunk") * F.lit(CHUNK)
     return (whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(left, F.lit(CHUNK)))))
             .drop("_copies", "_chunk", "_copy"))
