@@ -244,7 +244,7 @@ def eda_category_rate(spark, folder):
 
 @query
 def eda_corr(spark, folder):
-    return rounded(explore.correlations(explore.known_age(features(spark, folder))), 8)
+    return rounded(explore.correlations(explore.known_age(stored(spark, folder))), 8)
 
 
 @query
