@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dealscope.llm.bpe import bpe_round_trip
 from dealscope.llm.exact_dedup import exact_duplicates
+from dealscope.llm.ngram_join import near_duplicates
 from dealscope.llm.packing import pack_documents
 from dealscope.llm.sketch import fingerprints
 from dealscope.llm.tables import read
@@ -44,6 +45,11 @@ def op6_segment_tree_bpe(spark, folder):
     return bpe_round_trip(read(spark, folder, "documents"))
 
 
+@query
+def op9_ngram_jaccard_join(spark, folder):
+    return near_duplicates(read(spark, folder, "documents"))
+
+
 @query
 def op10_threshold_sketch(spark, folder):
     return fingerprints(read(spark, folder, "documents"))

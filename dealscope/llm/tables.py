@@ -39,3 +39,18 @@ def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str,
     others = (marked.where(F.col("_hot").isNull()).select(*out)
               .join(right.where(F.col(size) <= limit), list(keys), "left").select(*names, *fields))
     return in_place.unionByName(others)
+
+
+def identity(key: str, content: Column) -> dict[str, Column]:
+    """Columns that tell documents apart, none of them null: by key and content."""
+    return {"_none": F.col(key).isNull(), "_key": F.coalesce(F.col(key).cast("long"), F.lit(0)), "_content": content}
+
+
+def only(docs: DataFrame, stay: DataFrame, key: str, content: Column) -> DataFrame:
+    """The rows of ``docs`` whose identity is in ``stay``; rows that repeat an identity stay once.
+
+    One shuffle serves both the join and the removal of repeats.
+    """
+    names = ["_none", "_key", "_content"]
+    marked = docs.withColumns(identity(key, content))
+    return marked.join(stay.select(*names), names, "left_semi").dropDuplicates(names).select(*docs.columns)
