@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from dealscope.llm.tables import join_hot, partitions, text_or_empty
+from dealscope.llm.tables import identity, join_hot, only, partitions, text_or_empty
 from dealscope.session import stage
 
 FAN = 8
@@ -43,7 +43,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Collapses neighbours of sorted rows that hold one text; the last one stays open for the next batch."""
     rest: pa.Table | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
         if rest is not None:
             table = pa.concat_tables([rest, table])
         table = table.combine_chunks()
@@ -116,9 +116,5 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     Rows that repeat both key and text are one document: one of them stays.
     """
-    identity = {"_none": F.col(key).isNull(), "_key": F.coalesce(F.col(key).cast("long"), F.lit(0))}
-    stay = (exact_duplicates(docs, key, text).where("kept")
-            .select(identity["_none"].alias("_none"), identity["_key"].alias("_key"), F.col("text_sha256").alias("_sha")))
-    marked = docs.withColumns({**identity, "_sha": F.sha2(normalised(text_or_empty(text)), 256)})
-    names = ["_none", "_key", "_sha"]
-    return marked.join(stay, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    stay = exact_duplicates(docs, key, text).where("kept").withColumns(identity(key, F.col("text_sha256")))
+    return only(docs, stay, key, F.sha2(normalised(text_or_empty(text)), 256))
