@@ -12,6 +12,7 @@ from dealscope.llm.ngram_join import near_duplicates
 from dealscope.llm.packing import pack_documents
 from dealscope.llm.sketch import fingerprints
 from dealscope.llm.tables import read
+from dealscope.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,6 +46,11 @@ def op6_segment_tree_bpe(spark, folder):
     return bpe_round_trip(read(spark, folder, "documents"))
 
 
+@query
+def op7_classifier_chain(spark, folder):
+    return toxicity(read(spark, folder, "documents"), read(spark, folder, "labels")).drop("content")
+
+
 @query
 def op9_ngram_jaccard_join(spark, folder):
     return near_duplicates(read(spark, folder, "documents"))
