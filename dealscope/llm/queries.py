@@ -11,6 +11,7 @@ from dealscope.llm.exact_dedup import exact_duplicates
 from dealscope.llm.ngram_join import near_duplicates
 from dealscope.llm.packing import pack_documents
 from dealscope.llm.sketch import fingerprints
+from dealscope.llm.surrogates import with_surrogates
 from dealscope.llm.tables import read
 from dealscope.llm.toxicity import toxicity
 
@@ -18,11 +19,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: The secret of the surrogates; a real one comes from the caller.
+SURROGATE_KEY = "sample key"
+
+
 def query(function):
     QUERIES[function.__name__] = function
     return function
 
 
+@query
+def op1_pii_surrogates(spark, folder):
+    return with_surrogates(read(spark, folder, "documents"), SURROGATE_KEY)
+
+
 @query
 def op3_exact_dedup(spark, folder):
     return exact_duplicates(read(spark, folder, "documents"))
