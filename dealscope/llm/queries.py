@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dealscope.llm.bpe import bpe_round_trip
+from dealscope.llm.chaining import repeated_passages
 from dealscope.llm.exact_dedup import exact_duplicates
 from dealscope.llm.ngram_join import near_duplicates
 from dealscope.llm.packing import pack_documents
@@ -51,6 +52,11 @@ def op4_best_fit_packing(spark, folder):
     return pack_documents(read(spark, folder, "documents"))
 
 
+@query
+def op5_collinear_chaining(spark, folder):
+    return repeated_passages(read(spark, folder, "documents"))
+
+
 @query
 def op6_segment_tree_bpe(spark, folder):
     return bpe_round_trip(read(spark, folder, "documents"))
