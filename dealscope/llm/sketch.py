@@ -12,16 +12,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from dealscope.llm.tables import partitions
 from dealscope.llm.text import blocks, shingle_sets
-from dealscope.session import stage
 
 FRACTION = 1 / 8
 DIGITS = 12
+#: Slices of the order for each shuffle partition, so that hashing them to partitions evens out.
+SLICES = 8
+NULL_SLICES = 16
 
 _BITS = 4 * DIGITS
 
@@ -100,66 +102,57 @@ def _batch(columns: list[list]) -> list[pa.Array]:
     return [pa.array(values, kind) for values, (_, kind) in zip(columns, _OUT)]
 
 
+def _slice_of(splits: np.ndarray):
+    """Column function: the slice of the order that a row belongs to; null keys are spread over the first ones."""
+    @F.pandas_udf("int")
+    def place(none: pd.Series, order: pd.Series) -> pd.Series:
+        values = order.to_numpy(np.int64)
+        by_key = NULL_SLICES + np.searchsorted(splits, values, "left")
+        by_hash = (values >> 32) * NULL_SLICES // (1 << 32) + NULL_SLICES // 2
+        return pd.Series(np.where(none.to_numpy(bool), by_hash, by_key))
+    return place
+
+
 def fingerprints(docs: DataFrame, fraction: float = FRACTION, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document.
 
-    The next document is the one with the next key in ascending order (null keys first, equal keys ordered by text), after
-    the last the first; a single document follows itself. A null text counts as empty, with an empty fingerprint. near_* are
-    Jaccard estimates, within_* the shares of the document's shingles found there. Other columns are ignored; no rows
-    give no rows.
+    The next document is the one with the next key in ascending order (null keys come first, in the order of a hash of
+    their texts; equal keys are ordered by text), after the last the first; a single document follows itself. A null text
+    counts as empty, with an empty fingerprint. near_* are Jaccard estimates, within_* the shares of the document's shingles
+    found there. Other columns are ignored; no rows give no rows.
 
-    Documents are sorted by ranges of the key. Each task compares neighbours as they pass and leaves its first and last
-    row open; these few rows, two per task, are joined afterwards.
+    The order is cut into slices at quantiles of the key. Each slice also gets a copy of the first row of the next
+    one, so a task compares neighbours as they pass in one sorted stream.
     """
     spark = docs.sparkSession
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        last: tuple | None = None
-        names = [name for name, _ in _OUT] + ["role", "part", "text"]
-
-        def open_row(role: str, row: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([row[0]], pa.int64()), *[pa.nulls(1, kind) for _, kind in _OUT[1:]],
-                 pa.array([role]), pa.array([part], pa.int32()), pa.array([row[1]])], names=names)
-
-        for batch in batches:
-            for first, texts in blocks(batch.column(1)):
-                keys = batch.column(0).slice(first, len(texts)).to_pylist()
-                rows = list(zip(keys, texts.to_pylist(), sketches(texts, fraction)))
-                if last is None:
-                    yield open_row("head", rows[0])
-                else:
-                    rows.insert(0, last)
-                last = rows.pop() if rows else None
-                if not rows:
-                    continue
-                following = [*rows[1:], last]
-                done = _compare([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows],
-                                [r[1] for r in following], [r[2] for r in following], fraction)
-                yield pa.RecordBatch.from_arrays(
-                    [*_batch(done), pa.array(["done"] * len(rows)), pa.array([part] * len(rows), pa.int32()),
-                     pa.nulls(len(rows), pa.string())], names=names)
-        if last is not None:
-            yield open_row("tail", last)
-
+    width = partitions(spark)
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = plain.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = stage(ordered.mapInArrow(scan, f"{_OUT_SQL}, role string, part int, text string"), "fingerprints")
+    plain = plain.withColumns({"none": F.col("doc_id").isNull(), "order": F.coalesce("doc_id", F.xxhash64("text"))})
+    points = [i / (SLICES * width) for i in range(1, SLICES * width)]
+    splits = plain.agg(F.percentile_approx("doc_id", points, 10 * SLICES * width).alias("at")).first()["at"]
+    rows = plain.withColumn("slice", _slice_of(np.unique(np.array(splits or [], np.int64)))("none", "order"))
+    # Two numbers per slice.
+    heads = sorted((r["slice"], r["first"]) for r in rows.groupBy("slice").agg(F.min("order").alias("first")).collect())
+    before = [heads[i - 1][0] for i in range(len(heads))]
+    copied = spark.createDataFrame([(*head, to) for head, to in zip(heads, before)], "slice int, order long, copy_to int")
+    places = F.array(F.struct(F.col("slice").alias("slice"), F.lit(False).alias("is_copy")))
+    copy = F.array(F.struct(F.col("copy_to").alias("slice"), F.lit(True).alias("is_copy")))
+    placed = (rows.join(F.broadcast(copied), ["slice", "order"], "left")
+              .withColumn("_p", F.explode(F.when(F.col("copy_to").isNull(), places).otherwise(F.concat(places, copy))))
+              .select("doc_id", "order", "text", "_p.slice", "_p.is_copy"))
 
-    # One small number per task.
-    parts = sorted(r["part"] for r in rows.where("role = 'head'").select("part").collect())
-    following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
-    tails = rows.where("role = 'tail'").select("part", "doc_id", "text").join(following, "part")
-    heads = rows.where("role = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                pair = [batch.column(name).slice(i, 1) for name in ("text", "next_text")]
-                (text, own), (after, after_sketch) = [(one.to_pylist()[0], sketches(one, fraction)[0]) for one in pair]
-                done = _compare(batch.column("doc_id").slice(i, 1).to_pylist(), [text], [own], [after], [after_sketch], fraction)
+            for first, texts in blocks(batch.column("text")):
+                part = [batch.column(name).slice(first, len(texts)).to_pylist() for name in ("doc_id", "slice", "is_copy")]
+                stream = [*last, *zip(*part, texts.to_pylist(), sketches(texts, fraction))]
+                last = stream[-1:]
+                # A copy is no document here, and no neighbour of the rows that come after it.
+                pairs = [(a, b) for a, b in zip(stream, stream[1:]) if not a[2] and a[1] == b[1]]
+                done = _compare([a[0] for a, _ in pairs], [a[3] for a, _ in pairs], [a[4] for a, _ in pairs],
+                                [b[3] for _, b in pairs], [b[4] for _, b in pairs], fraction)
                 yield pa.RecordBatch.from_arrays(_batch(done), names=[name for name, _ in _OUT])
 
-    ends = tails.join(heads, "next_part").select("doc_id", "text", "next_text").mapInArrow(finish, _OUT_SQL)
-    return rows.where("role = 'done'").select(*[name for name, _ in _OUT]).unionByName(ends)
+    return (placed.repartition(width, "slice").sortWithinPartitions("slice", "is_copy", "order", "text")
+            .mapInArrow(scan, _OUT_SQL))
