@@ -60,9 +60,10 @@ def members(source: pa.NativeFile) -> list[Member]:
     size = source.size()
     tail_at = max(0, size - END_SIZE - LONGEST_COMMENT)
     tail = source.read_at(size - tail_at, tail_at)
-    at = tail.rfind(END)
+    # The comment after the record reaches to the end of the file, and may hold the signature itself.
+    at = tail.rfind(END, 0, len(tail) - END_SIZE + len(END))
     while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(END, 0, at)
+        at = tail.rfind(END, 0, at + len(END) - 1)
     if at < 0:
         raise ValueError("not a ZIP file: no end record")
     count, length, offset = struct.unpack_from("<HII", tail, at + 10)
