@@ -2,10 +2,13 @@
 
 A tree orders the texts by a label of ``DEPTH`` minimum hashes, so texts that share a prefix stand together, as in
 a trie. Starting with whole labels, prefixes are shortened until a pair at the threshold shares one in some tree
-with the target recall. Texts with a common prefix are compared with a leader of their group, not with each
-other, so links stay linear in the rows. At the last depth comparing goes on, with new leaders, as long as a group
-may hold a similar pair that is not yet in one class: distances to the leader bound those between members
-(1 - Jaccard is a metric), and only members whose bounds allow a link stay in the group.
+with the target recall. Texts with a common prefix are compared with a leader of their group, the one that meets
+most others, and not with each other, so links stay linear in the rows.
+
+At the last depth, texts that are not yet in their leader's class are compared further, in rounds with more and more
+of them as leaders, with the members of their group that are in another class and could still be similar: shingles
+that no other candidate has cannot match, so they bound the similarity of a text from above. The rounds end when
+no such text is left; no pair that shares a prefix is given up.
 """
 
 from __future__ import annotations
@@ -96,10 +99,19 @@ def content_hash(text: str = "text") -> Column:
     return F.xxhash64(text_or_empty(text))
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for owner, shingles in zip(batch.column("owner"), batch.column("shingles")):
+            values = np.frombuffer(shingles.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), owner.as_py()))],
+                                             names=["shingle", "owner"])
+
+
 class Forest:
     """The texts that share a prefix with another one, and the distances found so far."""
 
     def __init__(self, docs: DataFrame, text: str, sketches: DataFrame, threshold: float, target: float):
+        self.threshold = threshold
         self.reach = 1 - threshold + _CLOSE
         self.depth = last_depth(threshold, target)
         nodes = (sketches.where(F.col("node") != F.lit(bytes(16)))
@@ -108,34 +120,49 @@ class Forest:
             tree.alias("tree"), F.substring("labels", tree * DEPTH + 1, F.lit(DEPTH)).alias("label"))))
         placed = (nodes.select("node", "first", trees.alias("_t")).select("node", "first", "_t.tree", "_t.label")
                   .withColumn("group", self._group(self.depth)))
-        shared = placed.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        self.members = stage(placed.join(shared, "group").select("group", "tree", "label", "node", "first"), "members")
-        wanted = self.members.select("node", F.col("first.*")).distinct().withColumnRenamed("content", "_content")
+        shared = placed.groupBy("group").agg(F.count("*").alias("met")).where("met > 1")
+        members = stage(placed.join(shared, "group").select("group", "tree", "label", "node", "first", "met"), "members")
+        wanted = members.select("node", F.col("first.*")).distinct().withColumnRenamed("content", "_content")
         marked = docs.withColumns(identity("doc_id", content_hash(text)))
         names = ["_none", "_key", "_content"]
         texts = marked.join(wanted.select(*names), names, "left_semi").select(F.col(text).cast("string").alias("text"))
         self.sets = stage(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
+        info = self._info(members)
+        # Texts with too many shingles of their own are like nothing else.
+        self.members = stage(members.join(info, "node").where(F.col("common") >= threshold * F.col("size") - _CLOSE)
+                             .select("group", "tree", "label", "node", "size", "common", "weight"), "members")
         self.found = None
-        for depth in range(DEPTH, self.depth, -1):
-            self.measure(self._pairs(self.members.select("node", self._group(depth).alias("group")), 1))
+        for depth in range(DEPTH, self.depth - 1, -1):
+            self.measure(self._star(self.members.withColumn("group", self._group(depth))))
         self._finish()
 
     @staticmethod
     def _group(depth: int) -> Column:
         return F.xxhash64("tree", F.substring("label", 1, depth))
 
-    @staticmethod
-    def _leaders(members: DataFrame, count: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("node"), F.lit(count))
-        return members.groupBy("group", part.alias("_part")).agg(F.min("node").alias("leader")).drop("_part")
-
-    def _pairs(self, members: DataFrame, leaders: int) -> DataFrame:
-        return (members.join(self._leaders(members, leaders), "group").where("node != leader")
-                .select("group", "node", "leader", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
+    def _info(self, members: DataFrame) -> DataFrame:
+        """(node, size, common, weight): shingles, those that another candidate has too, and candidates met in all trees."""
+        sizes = self.sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("size"), F.xxhash64("node").alias("owner"))
+        rows = self.sets.select(F.xxhash64("node").alias("owner"), "shingles").mapInArrow(_shingle_rows, "shingle long, owner long")
+        single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).where("n = 1")
+        own = single.groupBy("owner").agg(F.count("*").alias("own"))
+        weights = members.groupBy("node").agg(F.sum("met").alias("weight"))
+        return (sizes.join(own, "owner", "left").join(weights, "node")
+                .select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"), "weight"))
+
+    def _possible(self) -> Column:
+        """Whether member and leader could be similar, by what they have in common with any text."""
+        share = self.threshold / (1 + self.threshold)
+        return F.least("common", "lead.common") >= share * (F.col("size") + F.col("lead.size")) - _CLOSE
+
+    def _star(self, members: DataFrame) -> DataFrame:
+        leaders = members.groupBy("group").agg(F.max_by(F.struct("node", "size", "common"), F.struct("weight", "node")).alias("lead"))
+        pairs = members.join(leaders, "group").where((F.col("node") != F.col("lead.node")) & self._possible())
+        return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
 
     def measure(self, pairs: DataFrame) -> None:
         """Adds the exact distances of new pairs."""
-        new = pairs.select("a", "b").distinct()
+        new = pairs.distinct()
         if self.found is not None:
             new = new.join(self.found, ["a", "b"], "left_anti")
         one = self.sets.withColumnsRenamed({"node": "a", "shingles": "one"})
@@ -144,25 +171,49 @@ class Forest:
                          .mapInArrow(_distances, "a binary, b binary, distance double"), "distances")
         self.found = measured if self.found is None else self.found.unionByName(measured)
 
+    def _beside_hub(self, members: DataFrame) -> DataFrame:
+        """``members`` with ``inside``: shingles shared with the member of the group that meets most others, where known."""
+        hubs = members.groupBy("group").agg(F.max_by(F.struct("node", "size"), F.struct("weight", "node")).alias("_hub"))
+        rows = members.join(hubs, "group").withColumns({"a": F.least("node", "_hub.node"), "b": F.greatest("node", "_hub.node")})
+        alike = 1 - F.col("distance")
+        inside = F.when(F.col("a") == F.col("b"), F.col("size")).otherwise(
+            F.round(alike / (1 + alike) * (F.col("size") + F.col("_hub.size"))))
+        return rows.join(self.found, ["a", "b"], "left").withColumn("inside", inside).select(*members.columns, "inside")
+
+    def _still_possible(self) -> Column:
+        """As ``_possible``; what both share with the hub and what both have beside it bound their overlap apart."""
+        share = self.threshold / (1 + self.threshold)
+        most = (F.least("inside", "lead.inside")
+                + F.least(F.col("common") - F.col("inside"), F.col("lead.common") - F.col("lead.inside")))
+        near = most >= share * (F.col("size") + F.col("lead.size")) - _CLOSE
+        return self._possible() & F.coalesce(near, F.lit(True))
+
     def _finish(self) -> None:
-        """Rounds with ever more leaders at the last depth, until no group can hold another link."""
-        members, leaders = self.members.select("group", "node"), 1
-        while not members.isEmpty():
-            pairs = stage(self._pairs(members, leaders), "pairs")
-            self.measure(pairs)
-            scored = stage(pairs.join(self.found, ["a", "b"]).select("group", "node", "leader", "distance"), "scored")
-            near = F.col("distance") <= self.reach
-            best = (scored.groupBy("group", "leader").agg(F.count(F.when(near, 1)).alias("linked"))
-                    .groupBy("group").agg(F.max_by("leader", F.struct("linked", "leader")).alias("leader")))
-            lead = scored.select("group", F.col("leader").alias("node")).distinct()
-            rest = scored.join(best, ["group", "leader"]).join(lead, ["group", "node"], "left_anti")
-            nearest = rest.where(~near).groupBy("group").agg(F.min("distance").alias("nearest"))
-            members = stage(rest.join(nearest, "group").where(F.col("distance") >= F.col("nearest") - self.reach)
-                            .select("group", "node"), "members")
-            leaders *= 8
+        """Compares, at the last depth, what the leaders have left in classes of their own."""
+        members = stage(self._beside_hub(self.members.select("group", "node", "size", "common", "weight")), "members")
+        count = 16
+        while True:
+            roots = components(self.links())
+            current = stage(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "open")
+            main = current.groupBy("group").agg(F.max_by("root", F.struct("weight", "node")).alias("main"),
+                                                F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
+            current = current.join(main.select("group", "main"), "group")
+            apart = current.where(F.col("root") != F.col("main"))
+            part = F.pmod(F.xxhash64("node"), F.lit(count))
+            leaders = stage(apart.groupBy("group", part.alias("_part")).agg(
+                F.max_by(F.struct("node", "size", "common", "inside", "root"), F.struct("weight", "node")).alias("lead"))
+                .drop("_part"), "leaders")
+            if leaders.isEmpty():
+                return
+            pairs = current.join(leaders, "group").where((F.col("root") != F.col("lead.root")) & self._still_possible())
+            self.measure(pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")))
+            # What has been compared with all that it could be linked to in its group is done there.
+            done = leaders.select("group", F.col("lead.node").alias("node"))
+            members = current.drop("root", "main").join(done, ["group", "node"], "left_anti")
+            count *= 8
 
     def links(self) -> DataFrame:
-        return self.found.where(F.col("distance") <= self.reach)
+        return self.found.where(F.col("distance") <= self.reach).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL,
