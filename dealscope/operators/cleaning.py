@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from dealscope.functions.scalars import (DEFAULT_AS_OF, country_bucket, state_bucket, whole_days)
 from dealscope.operators.company import compact_base, unroll_base
 from dealscope.operators.degrees import degrees_by_company, fill_no_company
-from dealscope.schemas import DEGREES, DROPPED_COLUMNS, FEATURE_COLUMNS, LABEL
+from dealscope.schemas import DEGREES, FEATURE_COLUMNS, LABEL
 from dealscope.sources.tables import SourceTables
 
 
@@ -39,10 +39,6 @@ def geo_buckets(df: DataFrame) -> DataFrame:
                            "state_code": state_bucket(F.col("state_code"))})
 
 
-def drop_excess(df: DataFrame) -> DataFrame:
-    return df.drop(*DROPPED_COLUMNS)
-
-
 def clean(df: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """All cleaning steps in their fixed order: dates are repaired before flags read them."""
     return (df.transform(fix_post_acquisition).transform(binary_flags)
@@ -63,4 +59,4 @@ def company_features(tables: SourceTables, as_of: str = DEFAULT_AS_OF, degrees:
     names = [n for n in FEATURE_COLUMNS if not n.endswith("_degree")]
     at = names.index("ipo")
     order = names[:at] + [f"{d}_degree" for d in (*degrees, "other")] + names[at:]
-    return drop_excess(unroll_base(cleaned, spread)).select(*order)
+    return unroll_base(cleaned, spread).select(*order)

@@ -2,45 +2,37 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
+from dealscope.functions.scalars import no_nan
 from dealscope.operators.robust_line import fit_line
 from dealscope.session import stage
 
 
 class ConstantImputer(Transformer, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """Replace missing values, or one given value, by a constant."""
+    """Replace gaps, or one given value instead, by a constant. A number that is none is a gap like NULL."""
 
     value = Param(Params._dummy(), "value", "replacement", TypeConverters.identity)
-    missingValue = Param(Params._dummy(), "missingValue",
-                         "value to replace; None or 'NaN' means NULL and NaN", TypeConverters.identity)
+    missingValue = Param(Params._dummy(), "missingValue", "value to replace instead of gaps", TypeConverters.identity)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, outputCols=None, value=0, missingValue="NaN"):
+    def __init__(self, *, inputCols=None, outputCols=None, value=0, missingValue=None):
         super().__init__()
-        self._setDefault(value=0, missingValue="NaN")
+        self._setDefault(value=0, missingValue=None)
         self._set(**self._input_kwargs)
 
-    def _is_missing(self, df: DataFrame, name: str) -> Column:
-        wanted = self.getOrDefault(self.missingValue)
-        if wanted is None or wanted == "NaN" or (isinstance(wanted, float) and math.isnan(wanted)):
-            missing = F.col(name).isNull()
-            floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
-            return missing | F.isnan(name) if floating else missing
-        return F.col(name).eqNullSafe(F.lit(wanted))
-
     def _transform(self, df: DataFrame) -> DataFrame:
-        value = F.lit(self.getOrDefault(self.value))
-        return df.withColumns({
-            out: F.when(self._is_missing(df, name), value).otherwise(F.col(name))
-            for name, out in zip(self.getInputCols(), self.getOutputCols())})
+        gap, value = self.getOrDefault(self.missingValue), F.lit(self.getOrDefault(self.value))
+        named = list(zip(self.getInputCols(), self.getOutputCols()))
+        if gap is not None:
+            return df.withColumns({out: F.when(F.col(n) == F.lit(gap), value).otherwise(F.col(n)) for n, out in named})
+        numbers = {name for name, kind in df.dtypes if kind in ("double", "float")}
+        return df.withColumns({out: F.coalesce(no_nan(F.col(n)) if n in numbers else F.col(n), value) for n, out in named})
 
 
 class _FillParams(HasInputCols, HasOutputCols):
@@ -85,70 +77,56 @@ class _LineParams(HasInputCol, HasOutputCol):
     """``inputCol`` drives the line; ``targetCol`` is the column with gaps."""
 
     targetCol = Param(Params._dummy(), "targetCol", "column to fill", TypeConverters.toString)
+    gap = Param(Params._dummy(), "gap", "what counts as a gap: missing (NULL), or zero where the input is known",
+                TypeConverters.toString)
+    averaged = Param(Params._dummy(), "averaged", "fit on the mean per input value instead of on rows",
+                     TypeConverters.toBoolean)
     slope = Param(Params._dummy(), "slope", "slope of the line", TypeConverters.toFloat)
     intercept = Param(Params._dummy(), "intercept", "intercept of the line", TypeConverters.toFloat)
 
-    def _names(self) -> tuple[str, str, str]:
-        return self.getInputCol(), self.getOrDefault(self.targetCol), self.getOutputCol()
+    def _settings(self) -> dict:
+        return {p.name: self.getOrDefault(p) for p in (self.inputCol, self.targetCol, self.outputCol, self.gap, self.averaged)}
 
-    def _line(self) -> Column:
-        return (F.lit(self.getOrDefault(self.slope)) * F.col(self.getInputCol())
-                + F.lit(self.getOrDefault(self.intercept)))
 
-
-class FundImputer(Estimator, _LineParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Fill missing money from the number of rounds, by a line through the mean per number."""
+class LineImputer(Estimator, _LineParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Fill the gaps of one column from another by a robust line over the rows without gaps."""
 
     @keyword_only
-    def __init__(self, *, inputCol="total_rounds", targetCol="average_funded", outputCol=None):
+    def __init__(self, *, inputCol=None, targetCol=None, outputCol=None, gap="missing", averaged=False):
         super().__init__()
-        self._setDefault(inputCol="total_rounds", targetCol="average_funded")
+        self._setDefault(gap="missing", averaged=False)
         self._set(**self._input_kwargs)
 
-    def _fit(self, df: DataFrame) -> "FundImputerModel":
-        rounds, funded, out = self._names()
-        line = fit_line(stage(funds_by_rounds(df, rounds, funded), "points"), rounds, funded)
-        return FundImputerModel(inputCol=rounds, targetCol=funded, outputCol=out,
-                                slope=line.slope, intercept=line.intercept)
+    def _fit(self, df: DataFrame) -> "LineImputerModel":
+        x, y = self.getInputCol(), self.getOrDefault(self.targetCol)
+        points = df.filter(F.col(y) != 0.0) if self.getOrDefault(self.gap) == "zero" else df
+        if self.getOrDefault(self.averaged):
+            points = stage(funds_by_rounds(points, x, y), "points")
+        line = fit_line(points, x, y)
+        return LineImputerModel(slope=line.slope, intercept=line.intercept, **self._settings())
 
 
-class FundImputerModel(Model, _LineParams, DefaultParamsReadable, DefaultParamsWritable):
+class LineImputerModel(Model, _LineParams, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
-    def __init__(self, *, inputCol=None, targetCol=None, outputCol=None, slope=None, intercept=None):
+    def __init__(self, *, inputCol=None, targetCol=None, outputCol=None, gap=None, averaged=None, slope=None, intercept=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        _, funded, out = self._names()
-        return df.withColumn(out, F.coalesce(F.col(funded), self._line()))
-
+        x, y = F.col(self.getInputCol()), F.col(self.getOrDefault(self.targetCol))
+        gap = (y == 0.0) & x.isNotNull() if self.getOrDefault(self.gap) == "zero" else y.isNull()
+        line = F.lit(self.getOrDefault(self.slope)) * x + F.lit(self.getOrDefault(self.intercept))
+        return df.withColumn(self.getOutputCol(), F.when(gap, line).otherwise(y))
 
-class ParticipantsImputer(Estimator, _LineParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Replace zero participants of funded companies, by a line over the non-zero ones."""
 
-    @keyword_only
-    def __init__(self, *, inputCol="average_funded", targetCol="average_participants", outputCol=None):
-        super().__init__()
-        self._setDefault(inputCol="average_funded", targetCol="average_participants")
-        self._set(**self._input_kwargs)
+def fund_imputer(out: str, rounds: str = "total_rounds", funded: str = "average_funded") -> LineImputer:
+    """Missing money from the number of rounds, by a line through the mean per number."""
+    return LineImputer(inputCol=rounds, targetCol=funded, outputCol=out, averaged=True)
 
-    def _fit(self, df: DataFrame) -> "ParticipantsImputerModel":
-        funded, participants, out = self._names()
-        line = fit_line(df.filter(F.col(participants) != 0.0), funded, participants)
-        return ParticipantsImputerModel(inputCol=funded, targetCol=participants, outputCol=out,
-                                        slope=line.slope, intercept=line.intercept)
 
-
-class ParticipantsImputerModel(Model, _LineParams, DefaultParamsReadable, DefaultParamsWritable):
-    @keyword_only
-    def __init__(self, *, inputCol=None, targetCol=None, outputCol=None, slope=None, intercept=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        funded, participants, out = self._names()
-        gap = (F.col(participants) == 0.0) & F.col(funded).isNotNull()
-        return df.withColumn(out, F.when(gap, self._line()).otherwise(F.col(participants)))
+def participants_imputer(out: str, funded: str = "average_funded", participants: str = "average_participants") -> LineImputer:
+    """Zero participants of funded companies, by a line over the non-zero ones."""
+    return LineImputer(inputCol=funded, targetCol=participants, outputCol=out, gap="zero")
 
 
 def funds_by_rounds(df: DataFrame, rounds: str = "total_rounds", funded: str = "average_funded") -> DataFrame:

@@ -23,7 +23,6 @@ from dealscope.session import stage
 DIGITS_PER_PASS = 3
 CELLS_PER_PASS = 16 ** DIGITS_PER_PASS
 HASH_DIGITS = 32
-MAX_LABELS = 64
 RANKED_ROWS = 50_000
 DECIMALS_IN_KEY = 6
 
@@ -82,6 +81,8 @@ def quota_split(df: DataFrame, quotas_for: Callable[[dict[object, int]], Quotas]
     ``quotas_for`` turns the label counts into row counts per label and part. Rows are stored
     once with their hash; the counting passes then read nothing but label and hash.
     """
+    if not isinstance(df.schema[label].dataType, T.BooleanType):
+        raise ValueError(f"label {label} must be boolean")
     hashed = stage(df.withColumn("_hash", row_hash(df, columns, seed)), "hashed")
     first = _histogram(hashed, label)
     counts: dict[object, int] = {}
@@ -124,15 +125,12 @@ def quota_split(df: DataFrame, quotas_for: Callable[[dict[object, int]], Quotas]
 
 
 def _histogram(hashed: DataFrame, label: str, prefix: str = "") -> list:
-    """Rows per label and next hash digits; at most ``MAX_LABELS * CELLS_PER_PASS`` rows."""
+    """Rows per label and next hash digits: at most ``CELLS_PER_PASS`` rows for true, false and NULL each."""
     end = len(prefix) + DIGITS_PER_PASS
-    bound = MAX_LABELS * CELLS_PER_PASS
     rows = (hashed.filter(F.col("_hash").startswith(prefix)).groupBy(
         F.col(label).alias("_label"), F.substring("_hash", 1, end).alias("prefix"))
         .agg(F.count("*").alias("n"), F.min("_hash").alias("low"), F.max("_hash").alias("high"))
-        .limit(bound + 1).collect())
-    if len(rows) > bound:
-        raise ValueError(f"column {label} has more than {MAX_LABELS} values")
+        .collect())
     return sorted(rows, key=lambda row: row["prefix"])
 
 

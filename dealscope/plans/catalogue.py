@@ -19,12 +19,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 CATALOGUE: dict[str, Query] = {}
 
-# Small settings: one candidate per family. The full grid is a parameter of the model job.
-SMALL_GRID = (
-    search.Candidate.of("gbt", trees=10, depth=5),
-    search.Candidate.of("rbf_svm", cost=1, gamma=search.AUTO, steps=40),
+# One point of the full grid per family, with its usual number of steps. The grid is a parameter of the model job.
+GRID_POINTS = (
+    search.Candidate.of("gbt", trees=100, depth=5),
+    search.Candidate.of("rbf_svm", cost=1, gamma=search.AUTO),
     search.Candidate.of("poly_svm", cost=1, gamma=search.AUTO, degree=3),
-    search.Candidate.of("mlp", layers=(25,), steps=40),
+    search.Candidate.of("mlp", layers=(25,)),
 )
 
 
@@ -40,6 +40,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         for f in df.schema.fields])
 
 
+def with_known_digits(df: DataFrame, raw: str, filled: str, gap) -> DataFrame:
+    """Rounded, means to six digits, where they have no ties, and values of a line to four."""
+    value = F.when(gap, F.round(filled, 4)).otherwise(F.round(raw, 6))
+    return rounded(df.withColumn(filled, value))
+
+
 def features(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.company_features(sample_tables(spark, folder))
 
@@ -70,6 +76,14 @@ def csv_roundtrip(spark, folder):
     return rounded(read_csv(spark, path))
 
 
+@query
+def csv_split(spark, folder):
+    path = scratch_path(spark, "split-csv")
+    write_split(split.train_columns(split.stratified_split(features(spark, folder))), path, format="csv")
+    parts = [read_part(spark, path, part, format="csv").withColumn("split", F.lit(part)) for part in ("train", "test")]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
 @query
 def split_stratified(spark, folder):
     path = scratch_path(spark, "split")
@@ -237,6 +251,16 @@ def eda_age_count(spark, folder):
     return explore.age_counts(features(spark, folder))
 
 
+@query
+def eda_known_age_rate(spark, folder):
+    return rounded(explore.age_rates(explore.known_age(features(spark, folder))))
+
+
+@query
+def eda_known_age_count(spark, folder):
+    return explore.age_counts(explore.known_age(features(spark, folder)))
+
+
 @query
 def eda_category_rate(spark, folder):
     return rounded(explore.category_rates(explore.known_age(features(spark, folder))))
@@ -254,17 +278,17 @@ def eda_completeness(spark, folder):
 
 @query
 def eda_complete_cases(spark, folder):
-    return rounded(explore.complete_cases(features(spark, folder)))
+    return rounded(explore.complete_cases(explore.known_age(features(spark, folder))))
 
 
 @query
 def eda_histograms(spark, folder):
-    return explore.histograms(stored(spark, folder))
+    return explore.histograms(explore.known_age(stored(spark, folder)))
 
 
 @query
 def eda_pair_histograms(spark, folder):
-    return explore.pair_histograms(stored(spark, folder))
+    return explore.pair_histograms(explore.known_age(stored(spark, folder)))
 
 
 # Preprocessing.
@@ -316,14 +340,16 @@ def robust_line(spark, folder):
 @query
 def impute_funds(spark, folder):
     table = stage(features(spark, folder).select("company_id", "total_rounds", "average_funded"))
-    return rounded(imputers.FundImputer(outputCol="funded_filled").fit(table).transform(table), 4)
+    filled = imputers.fund_imputer("funded_filled").fit(table).transform(table)
+    return with_known_digits(filled, "average_funded", "funded_filled", F.col("average_funded").isNull())
 
 
 @query
 def impute_participants(spark, folder):
     table = stage(features(spark, folder).select("company_id", "average_funded", "average_participants"))
-    imputer = imputers.ParticipantsImputer(outputCol="participants_filled")
-    return rounded(imputer.fit(table).transform(table), 4)
+    imputer = imputers.participants_imputer("participants_filled")
+    gap = (F.col("average_participants") == 0) & F.col("average_funded").isNotNull()
+    return with_known_digits(imputer.fit(table).transform(table), "average_participants", "participants_filled", gap)
 
 
 def prepared_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -371,9 +397,9 @@ def _parts(spark: SparkSession, folder: str):
 
 
 def _scores(spark: SparkSession, folder: str, family: str) -> DataFrame:
-    """Test rows with the prediction of a small model of one family."""
+    """Test rows with the prediction of one grid point of a family."""
     _, train, test, binarizers = _parts(spark, folder)
-    candidate = next(c for c in SMALL_GRID if c.family == family)
+    candidate = next(c for c in GRID_POINTS if c.family == family)
     scored = search.fit_model(train, binarizers, candidate).transform(test)
     return scored.select("company_id", LABEL, "prediction",
                          F.round(vector_to_array("rawPrediction")[1], 6).alias("score"))
@@ -402,17 +428,17 @@ def mlp_scores(spark, folder):
 @query
 def grid_search(spark, folder):
     _, train, _, binarizers = _parts(spark, folder)
-    found = search.grid_search(train, binarizers, SMALL_GRID)
+    found = search.grid_search(train, binarizers, GRID_POINTS)
     return rounded(found.scores.select("candidate", "family", "params", "mean_f1"))
 
 
 @query
 def evaluate(spark, folder):
     _, train, test, binarizers = _parts(spark, folder)
-    return rounded(search.evaluate(search.fit_model(train, binarizers, SMALL_GRID[0]), test))
+    return rounded(search.evaluate(search.fit_model(train, binarizers, GRID_POINTS[0]), test))
 
 
 @query
 def acquisition_chance(spark, folder):
     table, train, _, binarizers = _parts(spark, folder)
-    return search.acquisition_chance(search.fit_model(train, binarizers, SMALL_GRID[0]), table)
+    return search.acquisition_chance(search.fit_model(train, binarizers, GRID_POINTS[0]), table)

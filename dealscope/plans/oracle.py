@@ -193,7 +193,7 @@ def _limits() -> str:
         f"case when high_{c} > low_{c} then least(cast(floor((cast({c} as double) - low_{c}) / "
         f"(cast(high_{c} as double) - low_{c}) * 10) as bigint), 9) else 0 end as {c}" for c in ECONOMIC_COLUMNS)
     return f"""
-cases as (select *, {low_high} from features where {cases}),
+cases as (select *, {low_high} from known_age where {cases}),
 binned as (select {LABEL}, {bins} from cases)"""
 
 
@@ -228,12 +228,13 @@ def _pair_histograms() -> str:
         for i, a in enumerate(ECONOMIC_COLUMNS) for b in ECONOMIC_COLUMNS[i + 1:])
 
 
-AGE_RATE = f"""
+def age_rate(table: str) -> str:
+    return f"""
 select age_bucket, {rnd("rate")} as rate, companies,
        {rnd("rate - 1.96 * sqrt(rate * (1 - rate) / companies)")} as low,
        {rnd("rate + 1.96 * sqrt(rate * (1 - rate) / companies)")} as high
 from (select cast(floor(age / 1825.0) as bigint) as age_bucket, avg(cast(is_acquired as int)) as rate,
-             count(*) as companies from features where age is not null group by 1)"""
+             count(*) as companies from {table} where age is not null group by 1)"""
 
 METRICS = f"""
 select tp, fp, fn, {rnd("tp / (tp + fp)")} as precision, {rnd("tp / (tp + fn)")} as recall,
@@ -246,13 +247,15 @@ from (select count(*) filter (where is_acquired and guess) as tp, count(*) filte
 def oracle() -> dict[str, str]:
     wide = ", ".join(degree_columns())
     line = (FUND_LINE, PARTICIPANT_LINE)
+    split_parts = sql(
+        f"select {pick(FEATURE_COLUMNS)}, case when place <= test_rows then 'test' else 'train' end as split "
+        "from ranked join quota using (is_acquired)", HASHED, RANKED, QUOTA)
     all_features = sql(f"select {pick(FEATURE_COLUMNS)} from features")
     return {
         "scan_sources": sql(_scan()),
         "csv_roundtrip": all_features,
-        "split_stratified": sql(
-            f"select {pick(FEATURE_COLUMNS)}, case when place <= test_rows then 'test' else 'train' end as split "
-            "from ranked join quota using (is_acquired)", HASHED, RANKED, QUOTA),
+        "split_stratified": split_parts,
+        "csv_split": split_parts,
         "companies": sql("select * from company"),
         "round_stats": sql(f"select {pick(('round_company_id', 'total_rounds', *DOUBLES))} from round_stats"),
         "product_counts": sql("select * from product_counts"),
@@ -287,7 +290,10 @@ def oracle() -> dict[str, str]:
             f"select count(*) as total_companies, cast({len(FEATURE_COLUMNS)} as int) as total_features, "
             f"{rnd('avg(cast(is_acquired as int))')} as acquired_share from features"),
         "eda_age_filter": sql("select company_id, age, is_acquired from known_age"),
-        "eda_age_rate": sql(AGE_RATE),
+        "eda_age_rate": sql(age_rate("features")),
+        "eda_known_age_rate": sql(age_rate("known_age")),
+        "eda_known_age_count": sql("select cast(floor(age / 1825.0) as bigint) as age_bucket, count(*) as companies "
+                                   "from known_age group by 1"),
         "eda_age_count": sql("select cast(floor(age / 1825.0) as bigint) as age_bucket, count(*) as companies "
                              "from features where age is not null group by 1"),
         "eda_category_rate": sql(
@@ -295,7 +301,7 @@ def oracle() -> dict[str, str]:
             "from known_age where category_code is not null group by category_code"),
         "eda_corr": sql(_correlations()),
         "eda_completeness": sql(_completeness()),
-        "eda_complete_cases": sql(f"select {pick((*ECONOMIC_COLUMNS, LABEL))} from features where "
+        "eda_complete_cases": sql(f"select {pick((*ECONOMIC_COLUMNS, LABEL))} from known_age where "
                                   + " and ".join(f"{c} is not null" for c in ECONOMIC_COLUMNS)),
         "eda_histograms": sql(_histograms(), _limits()),
         "eda_pair_histograms": sql(_pair_histograms(), _limits()),
@@ -316,11 +322,12 @@ def oracle() -> dict[str, str]:
             f"select inliers, {rnd('intercept', 4)} as at_zero, {rnd('slope * 1e6 + intercept', 4)} as at_million, "
             "(select count(*) from features) as rows_read from participant_line", PARTICIPANT_LINE),
         "impute_funds": sql(
-            f"select company_id, total_rounds, {rnd('average_funded', 4)} as average_funded, "
-            f"{rnd('coalesce(average_funded, slope * total_rounds + intercept)', 4)} as funded_filled "
+            f"select company_id, total_rounds, {rnd('average_funded')} as average_funded, "
+            f"coalesce({rnd('average_funded')}, {rnd('slope * total_rounds + intercept', 4)}) as funded_filled "
             "from features, fund_line", FUND_LINE),
         "impute_participants": sql(
-            f"select company_id, {pick(DOUBLES, 4)}, {rnd(REPAIRED_PARTICIPANTS, 4)} as participants_filled "
+            f"select company_id, {pick(DOUBLES)}, case when average_participants = 0 and average_funded is not null then "
+            f"{rnd(REPAIRED_PARTICIPANTS, 4)} else {rnd('average_participants')} end as participants_filled "
             "from features, participant_line", PARTICIPANT_LINE),
         "standardize": sql("select company_id, " + ", ".join(f"{rnd(f'{c}_z', 4)} as {c}" for c in SCALED)
                            + " from scaled", MODES, CATEGORIZED, *line, NUMBERED),

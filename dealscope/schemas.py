@@ -22,6 +22,7 @@ DATE_COLUMNS = ("founded_at", "closed_at", "acquired_at", "public_at")
 DEGREES = ("mba", "phd", "ms")
 OTHER = "other"
 
+# Columns of the companies, and of the joined table.
 COMPANY_COLUMNS = ("company_id", "category_code", "founded_at", "closed_at", "country_code",
                    "state_code", "city", "region")
 
@@ -29,8 +30,6 @@ BASE_COLUMNS = COMPANY_COLUMNS + (
     "average_funded", "total_rounds", "average_participants", "public_at", "acquired_at",
     "products_number", "offices", "acquired_companies")
 
-DROPPED_COLUMNS = ("founded_at", "closed_at", "public_at", "acquired_at", "city", "region")
-
 LABEL = "is_acquired"
 
 
@@ -57,5 +56,6 @@ FEATURE_COLUMNS = tuple(features_schema().fieldNames())
 NUMERIC_GAP_COLUMNS = ("average_funded", "average_participants", "products_number", "offices",
                        "acquired_companies", *degree_columns(), "age")
 
+# Columns of the pair plots.
 ECONOMIC_COLUMNS = ("average_funded", "average_participants", "total_rounds", "offices",
                     "products_number", "acquired_companies")

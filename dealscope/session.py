@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
 
+_own_folders: dict[str, str] = {}
+
 
 def local_session(cpus: int = 8, app: str = "dealscope", memory: str = "8g", **conf) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
@@ -30,16 +33,17 @@ def local_session(cpus: int = 8, app: str = "dealscope", memory: str = "8g", **c
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a local session without the setting gets a temporary folder: there the driver
-    and the executors are one process. On a cluster a missing setting is an error.
+    Only a session whose driver and executors are one process, as in tests, gets a temporary folder if it names none. On
+    a cluster, also one of several processes on one machine, a missing setting is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get(SHARED_DIR_KEY, None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError(f"set {SHARED_DIR_KEY} to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="dealscope-"))
-        folder = context.getCheckpointDir()
+        if context.applicationId not in _own_folders:
+            _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="dealscope-")
+        folder = f"file://{_own_folders[context.applicationId]}"
     return folder.rstrip("/")
 
 

@@ -10,12 +10,12 @@ from dealscope.operators.degrees import degree_counts
 from dealscope.sources.sample import sample_tables
 
 GOLDEN = {
-    "sf0.001": dict(companies=135, rounds=375, acquisitions=60, ipos=60, offices=250, relationships=874,
-                    degrees=14, base=152, known=122, unmatched=13, unfunded=17, no_participants=5,
-                    buyers=20, labels={False: 109, True: 29}, degree_rows=480),
-    "sf0.01": dict(companies=1350, rounds=3750, acquisitions=600, ipos=600, offices=2500, relationships=8590,
-                   degrees=138, base=1578, known=1245, unmatched=140, unfunded=208, no_participants=106,
-                   buyers=201, labels={False: 1082, True: 312}, degree_rows=4650),
+    "sf0.001": dict(companies=135, rounds=1373, acquisitions=188, ipos=188, offices=1124, relationships=6000,
+                    degrees=15, base=291, known=122, unmatched=15, unfunded=30, no_participants=24,
+                    buyers=86, labels={False: 120, True: 115}, degree_rows=604),
+    "sf0.01": dict(companies=1350, rounds=13701, acquisitions=1875, ipos=1875, offices=11250, relationships=60000,
+                   degrees=150, base=2963, known=1225, unmatched=150, unfunded=271, no_participants=283,
+                   buyers=706, labels={False: 1167, True: 1213}, degree_rows=5999),
 }
 
 
@@ -41,4 +41,15 @@ def test_counts(spark, scale):
 def test_ages(tables):
     aged = company_age(company.company_base(tables), drop_negative=False)
     row = aged.agg(F.count_if(F.col("age") < 0), F.count_if(F.isnull("age"))).first()
-    assert tuple(row) == (184, 228)
+    assert tuple(row) == (583, 287)
+
+
+@pytest.mark.parametrize("scale", sorted(GOLDEN))
+def test_every_raw_row_has_a_role(spark, scale):
+    raw = {name: spark.read.parquet(f"{TESTDATA}/{scale}/{name}.parquet").count() for name in
+           ("customer", "part", "orders", "lineitem", "supplier")}
+    tables = sample_tables(spark, f"{TESTDATA}/{scale}")
+    assert tables.objects.count() == raw["customer"] + raw["part"]
+    assert tables.acquisitions.count() + tables.ipos.count() + tables.offices.count() == raw["orders"]
+    assert tables.relationships.count() == raw["lineitem"]
+    assert tables.degrees.select("object_id").distinct().count() == raw["supplier"]

@@ -1,6 +1,7 @@
 """Preprocessing stages, feature maps, classifier families and the search."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -88,18 +89,42 @@ def test_robust_line_edges(spark):
         fit_line(spark.createDataFrame([(None, 2.0)], "x double, y double"), "x", "y")
 
 
-def test_medians_from_a_sketch_give_the_same_line(spark, features, monkeypatch):
-    from dealscope.operators import robust_line
-    exact = fit_line(features, "total_rounds", "average_funded")
-    monkeypatch.setattr(robust_line, "EXACT_MEDIAN_ROWS", 0)
-    sketched = fit_line(features, "total_rounds", "average_funded")
-    assert sketched.inliers == pytest.approx(exact.inliers, rel=0.01)
+@pytest.mark.parametrize("text", ["id * 7919 % 2000003", "if(id % 3 = 0, 5, id)", "pow(1.0001, id % 60000)", "if(id = 7, 1e308, -id)",
+                                  "if(id % 2 = 0, -1e308, 1e308)", "cast(1 as double)", "sin(id) / 1e200"])
+@pytest.mark.parametrize("rows", [1, 1001, 300_000])
+def test_order_statistics_are_exact(spark, text, rows):
+    """The same method at every size, whatever the spread of the values."""
+    import duckdb
+
+    from dealscope.operators.robust_line import order_statistics
+    values = spark.range(rows).selectExpr(f"cast({text} as double) as v")
+    ranks = [0, (rows - 1) // 2, rows // 2, rows - 1]
+    known = np.sort(values.toPandas()["v"].to_numpy())
+    assert order_statistics(values, ranks) == known[ranks].tolist()
+    frame = pd.DataFrame({"v": known})  # noqa: F841
+    middle = duckdb.connect().execute("select median(v) as m from frame").fetchall()[0][0]
+    low, high = order_statistics(values, ranks[1:3])
+    assert middle == (low if low == high else (low + high) / 2)
+
+
+def test_line_of_extreme_values(spark):
+    rows = [(float(i), 2.0 * i + 1) for i in range(50)] + [(1e300, 1e308), (1e-300, -1e308), (float("inf"), 1.0), (3.0, float("nan"))]
+    line = fit_line(spark.createDataFrame(rows, "x double, y double"), "x", "y")
+    assert line.slope == pytest.approx(2) and line.intercept == pytest.approx(1)
+
+
+def test_many_categories(spark):
+    """More categories than the old limit encode, sparsely."""
+    df = spark.range(20_000).selectExpr("concat('c', id) as c")
+    model = OnceFittedBinarizer(inputCol="c", outputCol="h", sparseOutput=True).fit(df)
+    row = model.transform(df.where("c = 'c19999'")).first()
+    assert row["h"].size == 20_000 and len(row["h"].indices) == 1 and model.slots()[row["h"].indices[0]] == "c19999"
 
 
 def test_funds_from_rounds(spark):
     rows = [(n, 100.0 * n) for n in range(1, 12) for _ in range(n)] + [(5, None), (20, None), (30, None)]
     df = spark.createDataFrame(rows, "total_rounds long, average_funded double")
-    filled = imputers.FundImputer(outputCol="f").fit(df).transform(df).filter("average_funded is null").collect()
+    filled = imputers.fund_imputer("f").fit(df).transform(df).filter("average_funded is null").collect()
     assert {r["total_rounds"]: round(r["f"], 6) for r in filled} == {5: 500.0, 20: 2000.0, 30: 3000.0}
 
 
@@ -107,7 +132,7 @@ def test_only_zero_participants_of_funded_companies_change(spark):
     known = [(10.0 * n, 1.0 * n) for n in range(1, 20)]
     df = spark.createDataFrame([*known, (10.0, 0.0), (None, 0.0), (10.0, 3.0), (10.0, None)],
                                "average_funded double, average_participants double")
-    filled = imputers.ParticipantsImputer(outputCol="p").fit(df).transform(df).collect()[len(known):]
+    filled = imputers.participants_imputer("p").fit(df).transform(df).collect()[len(known):]
     slope, intercept = np.polyfit(*zip(*known, (10.0, 3.0)), 1)  # all 20 known points lie near the line
     assert filled[0]["p"] == pytest.approx(slope * 10 + intercept)
     assert [r["p"] for r in filled[1:]] == [0.0, 3.0, None]

@@ -24,4 +24,4 @@ def test_query(spark, folder, con, name):
 
 def test_entry(spark):
     result = entry.entry(spark)
-    assert len(result.columns) == 18 and result.count() == 138
+    assert len(result.columns) == 18 and result.count() == 235

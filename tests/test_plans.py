@@ -56,7 +56,7 @@ def test_bucketed_objects_are_not_shuffled(spark, tables, sort_merge, tmp_path):
     spark.sql(f"create database if not exists landed location '{tmp_path}/landed'")
     try:
         landed = land_database(tables, "landed", buckets=8)
-        assert company_features(landed).count() == 1394
+        assert company_features(landed).count() == 2380
         text = plan(compact_base(landed))
         scan = text[text.index("EqualTo(entity_type,Company)") - 1200:]
         assert "Bucketed: true" in scan

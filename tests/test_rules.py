@@ -47,7 +47,7 @@ def test_text_keys(spark):
 
 def test_inner_join_is_an_option(spark, tables):
     inner = company.company_base(tables, keep_unmatched=False)
-    assert inner.filter("company_id is null").count() == 0 and inner.count() == 1578 - 140
+    assert inner.filter("company_id is null").count() == 0 and inner.count() == 2963 - 150
 
 
 def test_entity_type_compares_by_case_unless_told(spark):

@@ -68,23 +68,53 @@ def test_shared_folder_is_the_sessions(spark):
 def test_jobs(spark, tables, tmp_path):
     folder = str(tmp_path / "out")
     features = jobs.feature_job(tables, folder, csv=True)
-    assert tuple(features.columns) == FEATURE_COLUMNS and features.count() == 1394
+    assert tuple(features.columns) == FEATURE_COLUMNS and features.count() == 2380
     train, test = [files.read_part(spark, f"{folder}/split", part) for part in ("train", "test")]
     assert train.columns[-1] == test.columns[-1] == "is_acquired"
-    assert (train.count(), test.count()) == (1115, 279)
-    order = [c for c in FEATURE_COLUMNS if c != "is_acquired"] + ["is_acquired"]
-    schema = type(features.schema)([features.schema[c] for c in order])
-    text = files.read_part(spark, f"{folder}/split_csv", "test", schema=schema, format="csv")
-    assert text.exceptAll(test).count() == 0 and text.count() == 279
+    assert (train.count(), test.count()) == (1904, 476)
+    text = files.read_part(spark, f"{folder}/split_csv", "test", format="csv")
+    assert text.columns == test.columns and text.exceptAll(test).count() == 0 and text.count() == 476
 
     profiles = jobs.explore_job(spark, folder)
-    assert profiles["profile"].first()["total_companies"] == 1394
+    assert profiles["profile"].first()["total_companies"] == 2380
     assert all(df.count() > 0 for df in profiles.values())
 
     report, model = jobs.model_job(spark, folder, [Candidate.of("gbt", trees=3, depth=3)])
     row = report.first()
     assert row["family"] == "gbt" and row["f1"] > 0.6
-    assert spark.read.parquet(f"{folder}/chances").count() == 1394
+    assert spark.read.parquet(f"{folder}/chances").count() == 2380
     assert spark.read.parquet(f"{folder}/scores").count() == 1
     again = PipelineModel.load(f"{folder}/model").transform(test).select("prediction")
     assert again.exceptAll(model.transform(test).select("prediction")).count() == 0
+
+
+def test_files_of_another_writer_lose_no_value(spark, features, tmp_path):
+    """Whole numbers with gaps come as 3.0 there, flags as True, quotes doubled."""
+    import pandas as pd
+
+    frame = features.toPandas().head(300)
+    frame["category_code"] = frame["category_code"].where(frame.index % 5 > 0, 'a "quoted", name')
+    for name, kind in features.dtypes:
+        if kind in ("bigint", "int"):
+            frame[name] = frame[name].astype("float64")
+    frame.to_csv(tmp_path / "data.csv", index=False)
+    got = files.read_csv(spark, str(tmp_path / "data.csv"))
+    assert got.dtypes == features.dtypes
+    back = got.toPandas()
+    for name in frame.columns:
+        assert back[name].notna().sum() == frame[name].notna().sum()
+        known = frame[name].notna().to_numpy()
+        assert (back[name].to_numpy()[known] == frame[name].to_numpy()[known]).all() or name.startswith("average")
+    assert pd.notna(back["age"]).any()
+
+
+def test_fields_that_do_not_fit_are_errors(spark, tmp_path):
+    schema = "a long, b boolean"
+    from pyspark.sql import types as T
+
+    struct = T.StructType.fromDDL(schema)
+    (tmp_path / "bad.csv").write_text("b,a\ntrue,3.5\n")
+    with pytest.raises(Exception, match="column a"):
+        files.read_csv(spark, str(tmp_path / "bad.csv"), struct).collect()
+    (tmp_path / "good.csv").write_text("more,b,a\nx,True,3.0\ny,,\n")
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "good.csv"), struct).collect()] == [(3, True, "x"), (None, None, "y")]
