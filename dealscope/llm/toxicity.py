@@ -24,7 +24,7 @@ from dealscope.llm.text import Block, blocks, distinct_sorted
 #: The chain over the labels given with the documents: names of 0/1 columns, in order.
 CHAIN = ("low_quality", "toxic", "toxic_low_quality")
 #: Upper bound of the labelled documents that are used for training.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 FOLDS = 3
 FEATURES = 600
 PENALTY = 0.2
