@@ -14,6 +14,7 @@ no such text is left; no pair that shares a prefix is given up.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,8 +133,9 @@ class Forest:
         self.members = stage(members.join(info, "node").where(F.col("common") >= threshold * F.col("size") - _CLOSE)
                              .select("group", "tree", "label", "node", "size", "common", "weight"), "members")
         self.found = None
-        for depth in range(DEPTH, self.depth - 1, -1):
-            self.measure(self._star(self.members.withColumn("group", self._group(depth))))
+        # From whole labels to the last depth; pairs that several depths propose are measured once.
+        stars = [self._star(self.members.withColumn("group", self._group(depth))) for depth in range(DEPTH, self.depth - 1, -1)]
+        self.measure(reduce(DataFrame.unionByName, stars))
         self._finish()
 
     @staticmethod
@@ -160,8 +162,8 @@ class Forest:
         pairs = members.join(leaders, "group").where((F.col("node") != F.col("lead.node")) & self._possible())
         return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
 
-    def measure(self, pairs: DataFrame) -> None:
-        """Adds the exact distances of new pairs."""
+    def measure(self, pairs: DataFrame) -> DataFrame:
+        """Exact distances of the pairs that are new; they are kept as well."""
         new = pairs.distinct()
         if self.found is not None:
             new = new.join(self.found, ["a", "b"], "left_anti")
@@ -170,6 +172,7 @@ class Forest:
         measured = stage(new.join(other, "b").join(one, "a").select("a", "b", "one", "other")
                          .mapInArrow(_distances, "a binary, b binary, distance double"), "distances")
         self.found = measured if self.found is None else self.found.unionByName(measured)
+        return measured
 
     def _beside_hub(self, members: DataFrame) -> DataFrame:
         """``members`` with ``inside``: shingles shared with the member of the group that meets most others, where known."""
@@ -191,9 +194,9 @@ class Forest:
     def _finish(self) -> None:
         """Compares, at the last depth, what the leaders have left in classes of their own."""
         members = stage(self._beside_hub(self.members.select("group", "node", "size", "common", "weight")), "members")
-        count = 16
+        self.roots, count = components(self.links(self.found)), 16
         while True:
-            roots = components(self.links())
+            roots = self.roots
             current = stage(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "open")
             main = current.groupBy("group").agg(F.max_by("root", F.struct("weight", "node")).alias("main"),
                                                 F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
@@ -206,14 +209,32 @@ class Forest:
             if leaders.isEmpty():
                 return
             pairs = current.join(leaders, "group").where((F.col("root") != F.col("lead.root")) & self._still_possible())
-            self.measure(pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")))
+            new = self.measure(pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")))
+            self._unite(self.links(new))
             # What has been compared with all that it could be linked to in its group is done there.
             done = leaders.select("group", F.col("lead.node").alias("node"))
             members = current.drop("root", "main").join(done, ["group", "node"], "left_anti")
-            count *= 8
+            count *= 32
 
-    def links(self) -> DataFrame:
-        return self.found.where(F.col("distance") <= self.reach).select("a", "b")
+    def links(self, measured: DataFrame) -> DataFrame:
+        return measured.where(F.col("distance") <= self.reach).select("a", "b")
+
+    def _unite(self, links: DataFrame) -> None:
+        """Classes with the new links: only what they change among the roots is worked out."""
+        def root(of: str) -> DataFrame:
+            return self.roots.select(F.col("node").alias(of), F.col("root").alias(f"_{of}"))
+
+        ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        between = stage(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+                        .where("a != b").distinct(), "between")
+        if between.isEmpty():
+            return
+        higher = components(between).select(F.col("node").alias("root"), F.col("root").alias("_higher"))
+        # Nodes without links so far are roots of their own.
+        known = self.roots.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                                       .join(self.roots, "node", "left_anti").withColumn("root", F.col("node")))
+        self.roots = stage(known.join(higher, "root", "left")
+                           .select("node", F.least("root", F.coalesce("_higher", "root")).alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL,
@@ -231,8 +252,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
     sketches = stage(plain.select("doc_id", F.col(text).alias("text"), content_hash(text).alias("content"))
                      .mapInArrow(_sketch, "doc_id long, content long, node binary, labels binary"), "sketches")
     rows = sketches.withColumns({"_none": F.col("doc_id").isNull(), "_key": F.coalesce("doc_id", F.lit(0))})
-    links = stage(Forest(plain, text, rows, threshold, target_recall).links(), "links")
-    roots = components(links)
+    forest = Forest(plain, text, rows, threshold, target_recall)
+    links, roots = forest.links(forest.found), forest.roots
     degrees = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")))
     nodes = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("smallest"))
     known = stage(nodes.join(roots, "node", "left").join(degrees, "node", "left")
