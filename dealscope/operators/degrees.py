@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from dealscope.functions.scalars import degree_bucket
 from dealscope.schemas import DEGREES, OTHER, degree_columns
 
-NULL_KEY_SPREAD = 1024
-
-
 def person_degrees(degrees: DataFrame, listed: Sequence[str] = DEGREES) -> DataFrame:
     """One row per person: how many degrees the person holds in each bucket."""
     bucket = degree_bucket(F.col("degree_type"), listed)
@@ -73,13 +70,10 @@ def fill_no_company(data: DataFrame, wide: DataFrame, listed: Sequence[str] = DE
 def extract_degrees(data: DataFrame, wide: DataFrame, listed: Sequence[str] = DEGREES) -> DataFrame:
     """Left join in which a missing company matches the group of missing companies.
 
-    Rows of ``data`` without a company match nothing under ``=``; a second key spreads them
-    over partitions instead of leaving all of them to one task, and their counts come from
-    the one-row group.
+    Rows of ``data`` without a company match nothing under ``=`` and go round the join, so that equal rows are no task of
+    their own; their counts come from the one-row group.
     """
-    known = wide.filter(F.col("company_id").isNotNull()).withColumn("_spread", F.lit(0))
-    lanes = F.pmod(F.xxhash64(*data.columns), F.lit(NULL_KEY_SPREAD)).cast("int")
-    spread = data.withColumn(
-        "_spread", F.when(F.col("company_id").isNull(), lanes).otherwise(F.lit(0)))
-    joined = spread.join(known, ["company_id", "_spread"], "left").drop("_spread")
-    return fill_no_company(joined, wide, listed)
+    known = wide.filter(F.col("company_id").isNotNull())
+    matched = data.filter(F.col("company_id").isNotNull()).join(known, "company_id", "left")
+    others = data.filter(F.col("company_id").isNull())
+    return fill_no_company(matched.unionByName(others, allowMissingColumns=True), wide, listed)

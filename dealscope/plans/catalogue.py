@@ -397,12 +397,16 @@ def _parts(spark: SparkSession, folder: str):
 
 
 def _scores(spark: SparkSession, folder: str, family: str) -> DataFrame:
-    """Test rows with the prediction of one grid point of a family."""
+    """Test rows, and whether the prediction of one grid point of a family is 0 or 1 and the likelier of the two.
+
+    Scores themselves have no SQL; the library returns them.
+    """
     _, train, test, binarizers = _parts(spark, folder)
     candidate = next(c for c in GRID_POINTS if c.family == family)
     scored = search.fit_model(train, binarizers, candidate).transform(test)
-    return scored.select("company_id", LABEL, "prediction",
-                         F.round(vector_to_array("rawPrediction")[1], 6).alias("score"))
+    raw = vector_to_array("rawPrediction")
+    return scored.select("company_id", LABEL, F.col("prediction").isin(0.0, 1.0).alias("is_class"),
+                         ((F.col("prediction") == 1) == (raw[1] > raw[0])).alias("is_likelier"))
 
 
 @query
@@ -435,10 +439,13 @@ def grid_search(spark, folder):
 @query
 def evaluate(spark, folder):
     _, train, test, binarizers = _parts(spark, folder)
-    return rounded(search.evaluate(search.fit_model(train, binarizers, GRID_POINTS[0]), test))
+    found = search.evaluate(search.fit_model(train, binarizers, GRID_POINTS[0]), test)
+    rates = [F.col(name).between(0, 1) for name in ("precision", "recall", "f1")]
+    return found.select((F.col("tp") + F.col("fn")).alias("positives"), (rates[0] & rates[1] & rates[2]).alias("rates_in_range"))
 
 
 @query
 def acquisition_chance(spark, folder):
     table, train, _, binarizers = _parts(spark, folder)
-    return search.acquisition_chance(search.fit_model(train, binarizers, GRID_POINTS[0]), table)
+    found = search.acquisition_chance(search.fit_model(train, binarizers, GRID_POINTS[0]), table)
+    return found.select("company_id", F.col("chance_percent").between(0, 100).alias("is_percentage"))

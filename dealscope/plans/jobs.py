@@ -11,7 +11,7 @@ from dealscope.functions.scalars import DEFAULT_AS_OF
 from dealscope.operators import explore
 from dealscope.operators.cleaning import company_features
 from dealscope.operators.preprocess import fit_binarizers
-from dealscope.operators.search import (Candidate, acquisition_chance, evaluate, full_grid, grid_search)
+from dealscope.operators.search import (FIT_PARTITIONS, Candidate, acquisition_chance, evaluate, full_grid, grid_search)
 from dealscope.operators.split import stratified_split, train_columns
 from dealscope.sources.files import read_part, write_csv, write_split
 from dealscope.sources.tables import SourceTables
@@ -53,7 +53,7 @@ def explore_job(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def model_job(spark: SparkSession, folder: str, candidates: Sequence[Candidate] | None = None,
-              folds: int = 3, parallelism: int = 4, seed: int = 0) -> tuple[DataFrame, PipelineModel]:
+              folds: int = 3, parallelism: int = 4, seed: int = 0, partitions: int = FIT_PARTITIONS) -> tuple[DataFrame, PipelineModel]:
     """Search on the train part, report on the test part, store the model, scores and chances.
 
     Returns one report row: best score and parameters, and the metrics on the test part.
@@ -62,7 +62,7 @@ def model_job(spark: SparkSession, folder: str, candidates: Sequence[Candidate]
     train = read_part(spark, f"{folder}/{SPLIT_PATH}", "train")
     test = read_part(spark, f"{folder}/{SPLIT_PATH}", "test")
     found = grid_search(train, fit_binarizers(features), list(candidates or full_grid()), folds,
-                        parallelism, seed=seed)
+                        parallelism, seed=seed, folder=f"{folder}/fold_scores", partitions=partitions)
     found.scores.write.mode("overwrite").parquet(f"{folder}/scores")
     found.model.write().overwrite().save(f"{folder}/model")
     if hasattr(found.model.stages[-1], "getProbabilityCol"):

@@ -216,7 +216,7 @@ def test_search_report_and_chances(spark, features):
     assert found.best_score == max(r["mean_f1"] for r in scores)
     assert search.evaluate(found.model, features).first()["f1"] > 0.6
     chances = search.acquisition_chance(found.model, features)
-    assert chances.columns == ["company_id", "chance_percent"] and chances.count() == features.count()
+    assert chances.columns == ["company_id", "chance_percent"] and chances.count() == features.select("company_id").na.drop().distinct().count()
     assert chances.filter("chance_percent < 0 or chance_percent > 100").count() == 0
 
 
@@ -224,3 +224,28 @@ def test_margin_models_have_no_chances(features):
     model = search.fit_model(features, fit_binarizers(features), Candidate.of("rbf_svm", cost=1, gamma=0.1, size=16, steps=2))
     with pytest.raises(ValueError):
         search.acquisition_chance(model, features)
+
+
+def test_search_goes_on_where_it_was(features, tmp_path, monkeypatch):
+    """Two candidates on two folds, broken off after the second fit."""
+    from dealscope.operators import search
+
+    grid = [search.Candidate.of("gbt", trees=2, depth=2), search.Candidate.of("gbt", trees=2, depth=3)]
+    binarizers, folder, fits = fit_binarizers(features), str(tmp_path / "scores"), []
+    plain = search.Prepared.fit
+
+    def counted(self, candidate, seed=0):
+        if len(fits) == 2 and not monkeypatch_done:
+            raise RuntimeError("lost")
+        fits.append(candidate)
+        return plain(self, candidate, seed)
+
+    monkeypatch_done = False
+    monkeypatch.setattr(search.Prepared, "fit", counted)
+    with pytest.raises(RuntimeError):
+        search.grid_search(features, binarizers, grid, folds=2, parallelism=1, folder=folder)
+    monkeypatch_done = True
+    found = search.grid_search(features, binarizers, grid, folds=2, parallelism=1, folder=folder)
+    assert len(fits) == 2 + 2 + 1
+    again = search.grid_search(features, binarizers, grid, folds=2, parallelism=1)
+    assert [tuple(r) for r in again.scores.collect()] == [tuple(r) for r in found.scores.collect()]
