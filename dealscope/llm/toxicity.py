@@ -105,7 +105,8 @@ def fit_linear(row: np.ndarray, column: np.ndarray, hashes: np.ndarray, earlier:
     place[best] = np.arange(len(best))
     use = place[column] >= 0
     width = len(best)
-    scale = np.maximum(earlier.std(axis=0), 1e-6)
+    # At least 1: log-odds that hardly differ say little, and must not be blown up.
+    scale = np.maximum(earlier.std(axis=0), 1.0)
     x = np.zeros((rows, width + earlier.shape[1] + 1), np.float32)
     x[row[use], place[column[use]]] = 1
     x[:, width:-1] = earlier / scale
