@@ -159,6 +159,20 @@ def test_passages_hot(spark):
     assert len(got) <= 2 * 2 * 300
 
 
+def test_passages_repeated_inside(spark):
+    """A passage twice in one of two documents: both of its places are reported, whichever document comes first."""
+    chance = random.Random(6)
+    for parts in (1, 4):
+        rows, want = [], set()
+        for k in range(12):
+            twice = words(chance, 60)
+            rows += [(2 * k, words(chance, 30) + twice + words(chance, 900) + twice), (2 * k + 1, words(chance, 7) + twice)]
+            want |= {(2 * k, 30, 90), (2 * k, 990, 1050), (2 * k + 1, 7, 67)}
+        docs = documents(spark, [(k, " ".join(w)) for k, w in rows]).repartition(parts)
+        got = chaining.repeated_passages(docs).collect()
+        assert ({(r.doc_id, r.start_word, r.end_word) for r in got} | {(r.source_id, r.source_start, r.source_end) for r in got}) == want
+
+
 def test_passages_odd_rows(odd, empty):
     got = chaining.repeated_passages(odd).collect()
     assert {(r.doc_id, r.source_id) for r in got} == {(9, 8)}
