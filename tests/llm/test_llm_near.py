@@ -173,6 +173,24 @@ def test_passages_repeated_inside(spark):
         assert ({(r.doc_id, r.start_word, r.end_word) for r in got} | {(r.source_id, r.source_start, r.source_end) for r in got}) == want
 
 
+def test_passages_of_common_lines(spark):
+    """Pairs that share a passage of lines which many other documents hold singly are reported in full."""
+    chance = random.Random(8)
+    lines = [words(chance, 11) for _ in range(30)]
+    rows = [(100 + i, words(chance, 35) + lines[i % 30] + words(chance, 35)) for i in range(600)]
+    want = set()
+    for k in range(10):
+        passage = sum(chance.sample(lines, 6), [])
+        for key in (2 * k, 2 * k + 1):
+            rows.append((key, words(chance, 20 + key) + passage + words(chance, 30)))
+            want.add((key, 20 + key, 86 + key))
+    chance.shuffle(rows)
+    for parts in (1, 12):
+        got = chaining.repeated_passages(documents(spark, [(k, " ".join(w)) for k, w in rows]).repartition(parts)).collect()
+        assert want <= {(r.doc_id, r.start_word, r.end_word) for r in got} | {(r.source_id, r.source_start, r.source_end) for r in got}
+        assert max(r.doc_id for r in got) < 100
+
+
 def test_passages_odd_rows(odd, empty):
     got = chaining.repeated_passages(odd).collect()
     assert {(r.doc_id, r.source_id) for r in got} == {(9, 8)}
