@@ -191,6 +191,23 @@ def test_passages_of_common_lines(spark):
         assert max(r.doc_id for r in got) < 100
 
 
+def test_passages_recall(spark):
+    """Passages of sixty words with words exchanged, where fifty or more remain from the first to the last that is the same."""
+    chance = random.Random(10)
+    rows, want = [], {}
+    for k in range(300):
+        passage = words(chance, 60)
+        edits = (3, 6, 9)[k % 3]
+        changed = edited(chance, passage, edits).split()
+        same = [i for i in range(60) if passage[i] == changed[i]]
+        rows += [(2 * k, words(chance, 20) + passage + words(chance, 20)), (2 * k + 1, words(chance, 40) + changed + words(chance, 10))]
+        if same[-1] + 1 - same[0] >= 50:
+            want.setdefault(edits, set()).add((2 * k + 1, 2 * k))
+    got = {(r.doc_id, r.source_id) for r in chaining.repeated_passages(documents(spark, [(k, " ".join(w)) for k, w in rows])).collect()}
+    shares = {edits: len(got & pairs) / len(pairs) for edits, pairs in want.items()}
+    assert shares[3] >= 0.99 and shares[6] >= 0.98 and shares[9] >= 0.93
+
+
 def test_passages_odd_rows(odd, empty):
     got = chaining.repeated_passages(odd).collect()
     assert {(r.doc_id, r.source_id) for r in got} == {(9, 8)}
