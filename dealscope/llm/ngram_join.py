@@ -9,6 +9,9 @@ At the last depth, texts that are not yet in their leader's class are compared f
 of them as leaders, with the members of their group that are in another class and could still be similar: shingles
 that no other candidate has cannot match, so they bound the similarity of a text from above. The rounds end when
 no such text is left; no pair that shares a prefix is given up.
+
+Links connect texts of one class only, so they are counted once the classes are settled: the texts of a class are
+dealt into blocks, each two blocks are compared in a task, and only counts per text leave it.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ TREES = 24
 DEPTH = 8
 TARGET_RECALL = 0.999
 
+#: Shingles in a block of a class whose links are counted, and columns of the matrices they are counted with.
+BLOCK_SHINGLES = 1 << 17
+COLUMNS = 1 << 12
+
 _CLOSE = 1e-9
 _MULTIPLIERS = hash_family(TREES * DEPTH, 3)
 
@@ -237,14 +244,78 @@ class Forest:
                            .select("node", F.least("root", F.coalesce("_higher", "root")).alias("root")), "roots")
 
 
+def _overlaps(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Number of common shingles of each set of ``one`` with each of ``other``."""
+    left, right = np.concatenate(one), np.concatenate(other)
+    common = np.intersect1d(left, right)
+    out = np.zeros((len(one), len(other)), np.float64)
+    sides = []
+    for values, sets in ((left, one), (right, other)):
+        column = np.searchsorted(common, values)
+        known = np.zeros(len(values), bool)
+        inside = column < len(common)
+        known[inside] = common[column[inside]] == values[inside]
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[known]
+        column = column[known]
+        order = np.argsort(column, kind="stable")
+        sides.append((row[order], column[order], len(sets)))
+    for first in range(0, len(common), COLUMNS):
+        parts = []
+        for row, column, rows in sides:
+            a, b = np.searchsorted(column, [first, first + COLUMNS])
+            part = np.zeros((rows, min(COLUMNS, len(common) - first)), np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _block_links(threshold: float):
+    """Links of each text of two blocks of a class, or within one block, in the other."""
+    def run(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        nodes, part = table.column("node").combine_chunks(), table.column("part").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        sizes = np.array([len(x) for x in sets], np.float64)
+        counts = np.zeros(len(sets), np.int64)
+        one, other = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        if len(one) and len(other):
+            both = _overlaps([sets[i] for i in one], [sets[i] for i in other])
+            linked = both >= (threshold - _CLOSE) * (sizes[one][:, None] + sizes[other][None, :] - both)
+            if low == high:
+                np.fill_diagonal(linked, False)
+                counts[one] = linked.sum(axis=1)
+            else:
+                counts[one], counts[other] = linked.sum(axis=1), linked.sum(axis=0)
+        some = np.flatnonzero(counts)
+        return pa.table({"node": nodes.take(pa.array(some)), "links": pa.array(counts[some])})
+    return run
+
+
+def count_links(sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links): for each text of a class, the texts of the class that are similar to it."""
+    sized = sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("size")).join(roots, "node")
+    classes = stage(sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+                    .select("root", "n", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("parts")), "classes")
+    # Two texts in a class are linked to each other.
+    two = roots.join(classes.where("n = 2"), "root", "left_semi").select("node", F.lit(1).cast("long").alias("n_links"))
+    placed = (roots.join(classes.where("n > 2"), "root")
+              .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .select("node", "root", "part", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high")))
+    counted = (placed.join(sets, "node").groupBy("root", "low", "high")
+               .applyInArrow(_block_links(threshold), "node binary, links long"))
+    return two.unionByName(counted.groupBy("node").agg(F.sum("links").alias("n_links")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL,
-                    key: str = "doc_id", text: str = "text") -> DataFrame:
+                    key: str = "doc_id", text: str = "text", links: bool = True) -> DataFrame:
     """One row per document: key, class_id, n_links, copies, class_root, content.
 
     Texts are linked when the Jaccard similarity of their sets of five-word shingles is at least ``threshold``; texts with
     the same set are one node of the join. A class is a connected component of links; class_id is its smallest key (null
-    keys are passed over; null only if all are null), n_links counts the verified links between the document's shingle
-    set and other sets, copies the documents with its set, class_root tells classes apart even without keys, content is a hash of the text that tells rows with one key
+    keys are passed over; null only if all are null), n_links counts all links between the document's shingle set and
+    other sets of its class (null unless ``links``), copies the documents with its set, class_root tells classes apart even without keys, content is a hash of the text that tells rows with one key
     apart. Texts of fewer than five words are one shingle; texts without words (and null) are alike. Repeated
     rows get equal rows. Other columns are ignored; an empty table gives an empty table.
     """
@@ -253,12 +324,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
                      .mapInArrow(_sketch, "doc_id long, content long, node binary, labels binary"), "sketches")
     rows = sketches.withColumns({"_none": F.col("doc_id").isNull(), "_key": F.coalesce("doc_id", F.lit(0))})
     forest = Forest(plain, text, rows, threshold, target_recall)
-    links, roots = forest.links(forest.found), forest.roots
-    degrees = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")))
+    roots = forest.roots
     nodes = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("smallest"))
-    known = stage(nodes.join(roots, "node", "left").join(degrees, "node", "left")
-                  .select("node", "copies", "smallest", F.coalesce("root", "node").alias("root"),
-                          F.coalesce("n_links", F.lit(0)).alias("n_links")), "nodes")
+    known = nodes.join(roots, "node", "left")
+    if links:
+        known = known.join(count_links(forest.sets, roots, threshold), "node", "left")
+    n_links = F.coalesce("n_links", F.lit(0).cast("long")) if links else F.lit(None).cast("long")
+    known = stage(known.select("node", "copies", "smallest", F.coalesce("root", "node").alias("root"), n_links.alias("n_links")), "nodes")
     classes = known.groupBy("root").agg(F.min("smallest").alias("class_id"), F.count("*").alias("_sets"))
     per_node = stage(join_hot(known, classes, ["root"], "_sets", known.count())
                      .select("node", "root", "class_id", "n_links", "copies"), "classes")
@@ -268,7 +340,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, the one with the smallest key (null keys last, then by a hash of the text)."""
-    classes = near_duplicates(docs, threshold, key=key, text=text)
+    classes = near_duplicates(docs, threshold, key=key, text=text, links=False)
     first = F.min(F.struct(F.col(key).isNull().alias("_none"), F.coalesce(F.col(key), F.lit(0)).alias("_key"),
                            F.col("content").alias("_content")))
     stay = classes.groupBy("class_root").agg(first.alias("_first")).select("_first.*")

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-from dealscope.llm import chaining
+from dealscope.llm import chaining, ngram_join
 from dealscope.llm.components import components
 from dealscope.llm.ngram_join import drop_near_duplicates, last_depth, near_duplicates, recall
 from dealscope.llm.text import Block, shingle_sets
@@ -81,6 +81,21 @@ def test_join_large_groups(spark):
     assert [got[k] for k, _ in rows] == classes(rows)
 
 
+def test_join_counts_all_links(spark, monkeypatch):
+    """Links of every text by brute force, in one block and in several."""
+    chance = random.Random(11)
+    base = [f"w{chance.randrange(10 ** 6)}" for _ in range(150)]
+    rows = [(i, edited(chance, base, chance.randrange(0, 5))) for i in range(120)] + [(500, "one two three four five six"), (501, " ".join(base))]
+    rows += [(502, " ".join(base)), (600, " ".join(base[:40])), (601, " ".join(base[:41]))]
+    sets = {k: shingles(t) for k, t in rows}
+    distinct = set(sets.values())
+    want = {k: sum(len(s & o) >= 0.8 * len(s | o) for o in distinct if o != s) for k, s in sets.items()}
+    for size in (ngram_join.BLOCK_SHINGLES, 3000):
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", size)
+        got = near_duplicates(documents(spark, rows)).collect()
+        assert {r.doc_id: r.n_links for r in got} == want
+
+
 def test_join_odd_rows(odd, empty):
     got = near_duplicates(odd).collect()
     want = classes(ODD)
