@@ -56,6 +56,21 @@ def test_surrogates_keep_format_and_coreference(spark):
     assert replaced(spark, texts, "other")[0] != got and replaced(spark, texts)[0] == got
 
 
+def test_surrogates_long_keys_and_plain_phones(spark):
+    """Keys of any length are masked, and phone numbers without separators, as the same number with them."""
+    token = "eyJ" + "aB3x_-Zq9" * 80
+    late = "k" * 150 + "7"
+    texts = [f"token {token}.", f"({late})", f"{token[:-2]}-\u00e9", "call +14155552671 now", "call +1 415 555 2671 now", "+442079460123", "+1234567"]
+    new = [r.text for r in spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+           .transform(lambda d: surrogates.with_surrogates(d, "k")).orderBy("doc_id").collect()]
+    assert [len(n) for n in new] == [len(t) for t in texts]
+    assert token not in new[0] and late not in new[1] and token[:-2] not in new[2]
+    assert re.fullmatch(r"call \+1\d{10} now", new[3]) and new[3] != texts[3]
+    assert re.sub(r"\D", "", new[3]) == re.sub(r"\D", "", new[4])
+    assert re.fullmatch(r"\+44\d{10}", new[5]) and new[5] != texts[5]
+    assert new[6] == texts[6]
+
+
 def test_surrogates_are_distinct(spark):
     texts = [f"{i:03d}-55-{i:04d}" for i in range(400)] + [f"10.0.{i // 256}.{i % 256}" for i in range(400)]
     got, _ = replaced(spark, texts)
