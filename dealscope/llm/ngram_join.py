@@ -1,9 +1,10 @@
 """Similarity join on word shingles by a MinHash LSH forest, with exact verification.
 
-A tree orders the texts by a label of ``DEPTH`` minimum hashes, so texts that share a prefix stand together, as in
-a trie. Starting with whole labels, prefixes are shortened until a pair at the threshold shares one in some tree
-with the target recall. Texts with a common prefix are compared with a leader of their group, the one that meets
-most others, and not with each other, so links stay linear in the rows.
+A tree gives each text a label of ``DEPTH`` minimum hashes; texts with the same prefix are grouped by its hash. The
+shortest prefix is the longest with which a pair at the threshold shares one in some tree with the target recall, the
+same for all texts. All depths from whole labels to that one are proposed in one pass. Texts with a common prefix are
+compared with a leader of their group, the one that meets most others, and not with each other, so these pairs stay
+linear in the rows.
 
 At the last depth, texts that are not yet in their leader's class are compared further, in rounds with more and more
 of them as leaders, with the members of their group that are in another class and could still be similar: shingles
