@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dealscope.llm.bpe import bpe_round_trip
 from dealscope.llm.chaining import repeated_passages
 from dealscope.llm.exact_dedup import exact_duplicates
+from dealscope.llm.language_model import lattice_scores
 from dealscope.llm.ngram_join import near_duplicates
 from dealscope.llm.packing import pack_documents
 from dealscope.llm.sketch import fingerprints
@@ -148,3 +149,8 @@ def op9_ngram_jaccard_join(spark, folder):
 @query
 def op10_threshold_sketch(spark, folder):
     return fingerprints(read(spark, folder, "documents"))
+
+
+@query
+def op12_subword_lattice(spark, folder):
+    return lattice_scores(read(spark, folder, "documents"))
