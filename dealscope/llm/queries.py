@@ -12,6 +12,7 @@ from dealscope.llm.exact_dedup import exact_duplicates
 from dealscope.llm.language_model import lattice_scores
 from dealscope.llm.ngram_join import near_duplicates
 from dealscope.llm.packing import pack_documents
+from dealscope.llm.ranked_search import ranked_documents
 from dealscope.llm.sketch import fingerprints
 from dealscope.llm.surrogates import with_surrogates
 from dealscope.llm.tables import read
@@ -154,3 +155,29 @@ def op10_threshold_sketch(spark, folder):
 @query
 def op12_subword_lattice(spark, folder):
     return lattice_scores(read(spark, folder, "documents"))
+
+
+@query
+def op13_range_maximum_search(spark, folder):
+    return ranked_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+ORACLE_SQL["op13_range_maximum_search"] = r"""
+with words as (
+ select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+held as (select doc_id, terms, cast(len(terms) as bigint) as n from words where len(terms) > 0),
+total as (select count(*) as docs, cast(sum(n) as bigint) as all_terms from held),
+tfs as (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(terms) as term from held) group by all),
+asked as (
+ select item_id, term, count(*) as repeats from (select item_id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+weights as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as w
+ from (select term, count(*) as df from tfs group by term), total),
+scores as (
+ select item_id, doc_id, cast(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // all_terms)))) as bigint) as score
+ from asked join weights using (term) join tfs using (term), total group by item_id, doc_id),
+ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+"""
