@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dealscope.llm.bpe import bpe_round_trip
 from dealscope.llm.chaining import repeated_passages
 from dealscope.llm.exact_dedup import exact_duplicates
+from dealscope.llm.hard_negatives import hard_negatives
 from dealscope.llm.language_model import lattice_scores
 from dealscope.llm.ngram_join import near_duplicates
 from dealscope.llm.packing import pack_documents
@@ -181,3 +182,31 @@ scores as (
 ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from scores where score > 0)
 select item_id, rank, doc_id, score from ranked where rank <= 20
 """
+
+
+@query
+def op11_str_rtree_negatives(spark, folder):
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(read(spark, folder, "embeddings"), F.col("id") % 100 == 0, label=moved)
+
+
+ORACLE_SQL["op11_str_rtree_negatives"] = r"""
+with vectors as (
+ select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+ from embeddings where label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+ select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+  cast(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
+ from vectors a join vectors b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (select * from scores where same
+ qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, p.other_id as positive_id,
+ cast(row_number() over (partition by p.anchor_id, p.other_id order by n.score desc, n.other_id) as integer) as rank,
+ n.other_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scores n on p.anchor_id = n.anchor_id and not n.same
+where 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+qualify rank <= 10
+"""
