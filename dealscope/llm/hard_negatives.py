@@ -9,7 +9,9 @@ An anchor's inner product with any row of a node lies between the sums of the sm
 The search of a subtree is best first: a queue yields the node of highest upper bound; a node is passed over if its labels cannot
 match, if its interval lies outside the window, or if it is strictly below the kth score found; ties are followed up. An anchor visits the
 subtrees whose labels can match, so subtrees within one label serve their own anchors' positives and all others' negatives. Anchors travel in
-blocks of ANCHOR_BLOCK; a task searches one subtree for one block, and windows merge the subtrees' best rows. Bounds and scores are exact:
+blocks of ANCHOR_BLOCK; a task searches one subtree for one block, and windows merge the subtrees' best rows. Negatives are searched for twice: first
+in a small tree of one row in SCOUTS, whose kth score for a window is a floor that holds for the whole table, then in the whole
+tree from that floor on, so that subtrees neither open nor return what cannot be among the best. Bounds and scores are exact:
 doubles where every sum stays below 2^53, unbounded integers elsewhere.
 
 Rows: rows with a null identifier, label or vector, or any null or non-finite component take no part; nor do rows whose squared length,
@@ -39,6 +41,7 @@ FAN_OUT = 8
 #: Coordinates along which a subtree is tiled.
 TILED = 3
 ANCHOR_BLOCK = 2048
+SCOUTS = 16
 _EXACT = 2.0 ** 53
 
 
@@ -123,7 +126,7 @@ class Search:
 
     def best(self, label: int, same: bool, count: int, low: int | None = None, high: int | None = None,
              leave_out: int | None = None) -> list[tuple[int, int]]:
-        """The ``count`` best (score, id) of rows with this label, or of all others, with scores in the window."""
+        """The ``count`` best (score, id) of rows with this label, or of all others, with scores from ``low`` to ``high``."""
         tree, found = self.tree, []
 
         def wait(node: int) -> None:
@@ -257,9 +260,6 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, key: str = "vec_id", vect
     tree = stage(pack(own), "leaves")
     anchors = own.where(is_anchor)
     blocks = max(1, ceil(anchors.count() / ANCHOR_BLOCK))
-    last = tree.agg(F.max("subtree")).first()[0]
-    if last is None:
-        last = 0
     spans = tree.select("subtree", F.explode("labels").alias("label")).groupBy("label").agg(
         F.min("subtree").alias("first"), F.max("subtree").alias("last"))
     placed = stage(anchors.join(spans, "label"), "anchors")
@@ -280,16 +280,31 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, key: str = "vec_id", vect
         for (anchor, kind, own_positives), search in zip(names, _searches(subtree, matrix(visitors["vector"]))):
             for positive in own_positives:
                 score = positive["positive_score"]
-                for found, other in search.best(kind, False, negatives, *window(score, low, high)):
+                least, most = window(score, low, high)
+                for found, other in search.best(kind, False, negatives, max(least, positive["floor"] or least), most):
                     yield anchor, positive["positive_id"], score, other, found
 
-    wanted = chosen.where("positive_score >= 0").groupBy(F.col("anchor_id").alias("id")).agg(
-        F.collect_list(F.struct("positive_id", "positive_score")).alias("positives"))
-    # Subtrees strictly between a label's first and last hold nothing but that label.
-    abroad = placed.join(wanted, "id").withColumn("subtree", F.explode(F.sequence(F.lit(0), F.lit(last)))).where(
-        (F.col("subtree") <= F.col("first")) | (F.col("subtree") >= F.col("last"))).select("id", "label", "vector", "positives", "subtree")
-    found = _visit(tree, abroad, blocks, harder, "anchor_id bigint, positive_id bigint, positive_score bigint, "
-                                                 "negative_id bigint, negative_score bigint")
+    asked = chosen.where("positive_score >= 0")
+    found_columns = "anchor_id bigint, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint"
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives).select(
+
+    def visit(trees: DataFrame, wanted: DataFrame, end: int, own_label: Column) -> DataFrame:
+        """The best negatives of ``trees`` for each anchor and its positives, which are ``wanted`` with a floor."""
+        grouped = wanted.groupBy(F.col("anchor_id").alias("id")).agg(
+            F.collect_list(F.struct("positive_id", "positive_score", "floor")).alias("positives"))
+        visitors = placed.join(grouped, "id").withColumn("subtree", F.explode(F.sequence(F.lit(0), F.lit(end)))).where(~own_label)
+        found = _visit(trees, visitors.select("id", "label", "vector", "positives", "subtree"), blocks, harder, found_columns)
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
+
+    scouts = stage(pack(own.where(F.pmod(F.xxhash64("id"), F.lit(SCOUTS)) == 0)), "scouts")
+    first = visit(scouts, asked.withColumn("floor", F.lit(None).cast("bigint")), _last(scouts), F.lit(False))
+    floors = first.where(F.col("rank") == negatives).select("anchor_id", "positive_id", F.col("negative_score").alias("floor"))
+    known = stage(asked.join(floors, ["anchor_id", "positive_id"], "left"), "floors")
+    # Subtrees strictly between a label's first and last hold nothing but that label.
+    within = (F.col("subtree") > F.col("first")) & (F.col("subtree") < F.col("last"))
+    return visit(tree, known, _last(tree), within).select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def _last(tree: DataFrame) -> int:
+    return tree.agg(F.coalesce(F.max("subtree"), F.lit(0))).first()[0]
