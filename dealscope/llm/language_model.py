@@ -13,9 +13,9 @@
   documents. A document's probability is the sum over the classes, as a text does not name its own.
 
 The words, their counts and the lattices' expected counts are gathered from all training documents. What reaches
-the driver is bounded: sums, one number per piece, the classes, and the HOT_WORDS most frequent words, which are
-looked up where a text is read. All other words meet their values in a join, where each has less than 1/HOT_WORDS of all
-words. Words are told apart by 64-bit hashes there.
+the driver is bounded: sums, one number per piece, the classes, and up to HOT_WORDS of the most frequent words, which are
+looked up where a text is read. All other words meet their values in a join, where none of them is frequent. Words are
+told apart by 64-bit hashes there.
 
 Rows: a null text is empty and scores the end of the text alone. A row without key is held out, as is any whose rule says so;
 it is scored like all others. Repeated rows count and are scored each. Without training documents the weights are those of
@@ -162,6 +162,22 @@ def _class_index(docs: DataFrame, column: str | None, learn: Column, most: int)
     return index, [*sizes, total - sum(sizes)]
 
 
+def _hot_from(words: DataFrame, most: int) -> int:
+    """The smallest count that at most ``most`` words reach, up to a sixteenth of a power of two.
+
+    Counts fall into some thousand steps, which are counted; no task sorts or merges the words themselves.
+    """
+    step = F.floor(F.log2("all") * 16)
+    total, least = 0, 1
+    for row in words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("all").alias("least"),
+                                                      F.max("all").alias("greatest")).orderBy(F.desc("step")).collect():
+        total += row["n"]
+        if total > most:
+            return row["greatest"] + 1
+        least = row["least"]
+    return least
+
+
 def lattice_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", class_column: str | None = "lang",
                    held_out: Column | None = None, vocabulary: str = VOCABULARY, rounds: int = ROUNDS,
                    classes: int = CLASSES, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -213,9 +229,8 @@ def lattice_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", cla
     sums = [f"s{k}" for k in use]
     scored = stage(words.mapInArrow(score_words, "hash bigint, `all` bigint, `count` bigint, "
                                     + ", ".join(f"{name} double" for name in sums)), "scored-words")
-    known = scored.orderBy(F.desc("all"), F.desc("hash")).limit(hot_words).toArrow()
-    least = known.slice(known.num_rows - 1).to_pylist()
-    known = known.sort_by("hash")
+    least = _hot_from(scored, hot_words)
+    known = scored.where(F.col("all") >= least).toArrow().sort_by("hash")
     table = docs.sparkSession.sparkContext.broadcast(
         (known["hash"].to_numpy(), known["count"].to_numpy(), [known[name].to_numpy() for name in sums]))
 
@@ -231,7 +246,7 @@ def lattice_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", cla
                 hot_row, hot_n, place = row[is_hot], n[is_hot], place[is_hot]
 
                 def summed(of: np.ndarray) -> pa.Array:
-                    return pa.array(np.bincount(hot_row, hot_n * of[place], block.rows))
+                    return pa.array(np.bincount(hot_row, hot_n * of[place], block.rows).astype(float))
 
                 rest = np.concatenate([[0], np.cumsum(np.bincount(row[~is_hot], minlength=block.rows))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -249,8 +264,7 @@ def lattice_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", cla
 
     pairs = found.select("row", F.explode(F.arrays_zip("hashes", "numbers")).alias("pair")).select(
         "row", F.col("pair.hashes").alias("hash"), F.col("pair.numbers").alias("n"))
-    below = [(F.col("all") < row["all"]) | ((F.col("all") == row["all"]) & (F.col("hash") < row["hash"])) for row in least]
-    met = pairs.join(scored.where(*below or [F.lit(True)]).drop("all"), "hash").groupBy("row").agg(
+    met = pairs.join(scored.where(F.col("all") < least).drop("all"), "hash").groupBy("row").agg(
         F.sum(F.when(F.col("count") > 0, F.col("n")).otherwise(F.lit(0))).alias("cold_known"),
         F.sum(F.col("n") * base(F.col("count"))).alias("cold_base"),
         *[F.sum(F.col("n") * F.col(name)).alias(f"cold_{name}") for name in sums])
