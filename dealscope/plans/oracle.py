@@ -343,11 +343,4 @@ def oracle() -> dict[str, str]:
             f"select is_acquired, count(*) as rows, {rnd('sum(count(*)) over () / (2.0 * count(*))')} as weight "
             "from features group by is_acquired"),
         "classification_metrics": sql(METRICS),
-        **{name: sql("select company_id, is_acquired, true as is_class, true as is_likelier from ranked join quota using (is_acquired) "
-                     "where place <= test_rows", HASHED, RANKED, QUOTA)
-           for name in ("gbt_scores", "rff_svm_scores", "poly_svm_scores", "mlp_scores")},
-        "evaluate": sql("select count(*) as positives, true as rates_in_range from ranked join quota using (is_acquired) "
-                        "where place <= test_rows and is_acquired", HASHED, RANKED, QUOTA),
-        "acquisition_chance": sql("select company_id, true as is_percentage from features where company_id is not null "
-                                  "group by company_id"),
     }
