@@ -8,7 +8,8 @@ from pyspark.ml.feature import Imputer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from dealscope.operators import cleaning, company, degrees, explore, imputers, metrics, preprocess, search, split
+from dealscope.operators import (cleaning, company, degrees, encoding, explore, fold_fit, imputers, metrics, preprocess, search,
+                                 split)
 from dealscope.operators.robust_line import fit_line
 from dealscope.schemas import LABEL, SOURCE_COLUMNS
 from dealscope.session import scratch_path, stage
@@ -375,6 +376,22 @@ def stratified_folds(spark, folder):
     return rounded(split.stratified_folds(features(spark, folder)))
 
 
+@query
+def fold_statistics(spark, folder):
+    """What preprocessing finds for each fold in the rows of the others: fills of categories, means and divisors of numbers."""
+    table = stored(spark, folder)
+    folded = stage(split.stratified_folds(table), "folds")
+    rows = []
+    for fold, model in enumerate(fold_fit.fit_folds(folded, preprocess.fit_binarizers(table), 3)):
+        for step in model.stages:
+            if isinstance(step, imputers.ModeImputerModel):
+                rows += [(fold, name, fill, None, None) for name, fill in zip(step.getInputCols(), step.getOrDefault(step.fills))]
+            if isinstance(step, encoding.PopulationScalerModel):
+                rows += [(fold, name, None, *pair) for name, *pair in zip(
+                    preprocess.SCALED, step.getOrDefault(step.means), step.getOrDefault(step.scales))]
+    return rounded(spark.createDataFrame(rows, "fold int, name string, fill string, mean double, scale double"), 4)
+
+
 @query
 def class_weights(spark, folder):
     return rounded(search.class_weights(stage(features(spark, folder).select(LABEL))))

@@ -236,6 +236,22 @@ select age_bucket, {rnd("rate")} as rate, companies,
 from (select cast(floor(age / 1825.0) as bigint) as age_bucket, avg(cast(is_acquired as int)) as rate,
              count(*) as companies from {table} where age is not null group by 1)"""
 
+def _fold_statistics() -> str:
+    """For each fold, all preprocessing over the rows of the other folds."""
+    folds = []
+    for fold in range(3):
+        rows = f"features as (select * from dealt where fold <> {fold})"
+        numbers = " union all ".join(f"select '{c}' as name, null as fill, avg({c}_n) as mean, "
+                                     f"case when stddev_pop({c}_n) = 0 then 1 else stddev_pop({c}_n) end as scale from filled" for c in SCALED)
+        fills = " union all ".join(f"select '{c}', {c}_mode, null, null from modes" for c in CATEGORIES)
+        ctes = ", ".join(text.strip() for text in (rows, MODES, CATEGORIZED, FUND_LINE, PARTICIPANT_LINE, NUMBERED))
+        folds.append(f"select cast({fold} as int) as fold, * from (with {ctes} {numbers} union all {fills})")
+    return f"select fold, name, fill, {rnd('mean', 4)} as mean, {rnd('scale', 4)} as scale from (" + " union all ".join(folds) + ")"
+
+
+FOLD = ("cast(case when place <= label_rows // 3 + (label_rows % 3 > 0)::int then 0 "
+        "when place <= 2 * (label_rows // 3) + least(label_rows % 3, 2) then 1 else 2 end as int) as fold")
+
 METRICS = f"""
 select tp, fp, fn, {rnd("tp / (tp + fp)")} as precision, {rnd("tp / (tp + fn)")} as recall,
        {rnd("2 * tp / (2 * tp + fp + fn)")} as f1
@@ -336,9 +352,8 @@ def oracle() -> dict[str, str]:
             + " || ' ' || ".join(_slot(n) for n in VECTOR_ORDER) + " as slots from scaled)",
             MODES, CATEGORIZED, *line, NUMBERED),
         "stratified_folds": sql(
-            f"select {pick(FEATURE_COLUMNS)}, cast(case when place <= label_rows // 3 + (label_rows % 3 > 0)::int then 0 "
-            "when place <= 2 * (label_rows // 3) + least(label_rows % 3, 2) then 1 else 2 end as int) as fold "
-            "from ranked", HASHED, RANKED),
+            f"select {pick(FEATURE_COLUMNS)}, {FOLD} from ranked", HASHED, RANKED),
+        "fold_statistics": sql(_fold_statistics(), HASHED, RANKED, f"dealt as (select *, {FOLD} from ranked)"),
         "class_weights": sql(
             f"select is_acquired, count(*) as rows, {rnd('sum(count(*)) over () / (2.0 * count(*))')} as weight "
             "from features group by is_acquired"),
