@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dealscope.functions.scalars import age_bucket
+from dealscope.operators.copies import CHUNK
+from dealscope.operators.split import row_key
 from dealscope.schemas import ECONOMIC_COLUMNS, LABEL, NUMERIC_GAP_COLUMNS
 
 Z_95 = 1.96
@@ -44,35 +44,60 @@ def age_counts(df: DataFrame) -> DataFrame:
 
 
 def age_rates(df: DataFrame, label: str = LABEL, interval: str = "normal", seed: int = 0,
-              resamples: int = 1000) -> DataFrame:
+              resamples: int = 200) -> DataFrame:
     """Positive share per five-year age bucket with a 95 % interval.
 
-    ``normal`` uses the normal approximation. ``bootstrap`` takes percentiles over resampled
-    means: resampling n flags of which k are set is one binomial draw, so the resamples are
-    drawn from the counts of a bucket and no row is ever repeated.
+    ``normal`` uses the normal approximation. ``bootstrap`` takes percentiles over resampled shares (``resampled_rates``).
     """
-    rates = (df.filter(F.col("age").isNotNull())
-             .groupBy(age_bucket(F.col("age")).alias("age_bucket"))
-             .agg(_rate(label).alias("rate"), F.count("*").alias("companies"),
-                  F.count_if(F.col(label)).alias("_positive")))
+    aged = df.filter(F.col("age").isNotNull()).withColumn("age_bucket", age_bucket(F.col("age")))
+    rates = aged.groupBy("age_bucket").agg(_rate(label).alias("rate"), F.count("*").alias("companies"))
     if interval == "bootstrap":
-        return (rates.withColumn("_bounds", _resampled_bounds(seed, resamples)("companies", "_positive"))
-                .select("age_bucket", "rate", "companies", F.col("_bounds.low").alias("low"),
-                        F.col("_bounds.high").alias("high")))
+        return rates.join(resampled_rates(aged, "age_bucket", label, seed, resamples, row_key(df)), "age_bucket")
     half = F.lit(Z_95) * F.sqrt(F.col("rate") * (F.lit(1.0) - F.col("rate")) / F.col("companies"))
     return rates.select("age_bucket", "rate", "companies", (F.col("rate") - half).alias("low"),
                         (F.col("rate") + half).alias("high"))
 
 
-def _resampled_bounds(seed: int, resamples: int):
-    @F.pandas_udf("low double, high double")
-    def bounds(total: pd.Series, positive: pd.Series) -> pd.DataFrame:
-        rows = []
-        for n, k in zip(total, positive):
-            means = np.random.default_rng([seed, n, k]).binomial(n, k / n, resamples) / n
-            rows.append(np.percentile(means, [2.5, 97.5]))
-        return pd.DataFrame(rows, columns=["low", "high"])
-    return bounds
+# Numbers of 65,536 below which a uniform 16-bit number gives 0, 1, 2, ... for a Poisson variable of mean 1.
+POISSON_STEPS = (24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535)
+DRAWS_PER_HASH = 8
+
+
+def resampled_rates(df: DataFrame, by: str, label: str, seed: int, resamples: int, identity: Column) -> DataFrame:
+    """``low`` and ``high`` per group: the 2.5th and 97.5th percentile (nearest rank) of shares over resamples.
+
+    In a resample every row counts as often as a Poisson variable of mean 1 says, which is drawn from a hash of the row,
+    the seed and the resample, so any split of the rows gives the same sums and they merge map-side: one hash
+    serves eight resamples, whose sixteen sums are one row. Equal rows are counted and numbered, a repeated row in
+    chunks of CHUNK copies that are spread over tasks. A resample without rows has no share.
+    """
+    turns = -(-resamples // DRAWS_PER_HASH)
+    counted = df.groupBy(by, F.col(label).cast("int").alias("_positive"), identity.alias("_identity")).agg(F.count("*").alias("_n"))
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / F.lit(CHUNK)).cast("bigint"))))
+    first = F.col("_chunk") * F.lit(CHUNK)
+    copies = chunks.repartition("_identity", "_chunk").withColumn(
+        "_copy", F.explode(F.sequence(first, F.least(F.col("_n"), first + F.lit(CHUNK)) - 1)))
+    drawn = copies.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col("_turn").cast("string"), F.lit("|"), F.col("_copy").cast("string"), F.lit("|"), F.col("_identity")))
+    drawn = drawn.select(by, "_positive", "_turn", digest.alias("_digest"))
+
+    def times(draw: int) -> Column:
+        uniform = F.conv(F.substring("_digest", 4 * draw + 1, 4), 16, 10).cast("int")
+        return sum(((uniform >= step).cast("int") for step in POISSON_STEPS), F.lit(0))
+
+    sums = drawn.groupBy(by, "_turn").agg(
+        *[of.alias(f"{name}{i}") for i in range(DRAWS_PER_HASH)
+          for name, of in (("_all", F.sum(times(i))), ("_set", F.sum(times(i) * F.col("_positive"))))])
+    shares = sums.select(by, F.inline(F.array(*[F.struct(
+        (F.col("_turn") * DRAWS_PER_HASH + i).alias("_resample"),
+        (F.col(f"_set{i}") / F.nullif(F.col(f"_all{i}"), F.lit(0))).alias("_share")) for i in range(DRAWS_PER_HASH)])))
+    # At most ``resamples`` shares per group.
+    listed = shares.where(F.col("_resample") < resamples).groupBy(by).agg(F.sort_array(F.collect_list("_share")).alias("_shares"))
+
+    def percentile(share: float) -> Column:
+        return F.get("_shares", (F.ceil(F.size("_shares") * F.lit(share)) - 1).cast("int"))
+
+    return listed.select(by, percentile(0.025).alias("low"), percentile(0.975).alias("high"))
 
 
 def category_rates(df: DataFrame, by: str = "category_code", label: str = LABEL) -> DataFrame:

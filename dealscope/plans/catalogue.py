@@ -8,7 +8,7 @@ from pyspark.ml.feature import Imputer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from dealscope.operators import (cleaning, company, degrees, encoding, explore, fold_fit, imputers, metrics, preprocess, search,
+from dealscope.operators import (calibration, cleaning, company, degrees, encoding, explore, fold_fit, imputers, metrics, preprocess, search,
                                  split)
 from dealscope.operators.robust_line import fit_line
 from dealscope.schemas import LABEL, SOURCE_COLUMNS
@@ -458,3 +458,12 @@ def evaluate(spark, folder):
 def acquisition_chance(spark, folder):
     table, train, _, binarizers = _parts(spark, folder)
     return search.acquisition_chance(search.fit_model(train, binarizers, GRID_POINTS[0]), table)
+
+
+@query
+def calibrated_chance(spark, folder):
+    """Chances from the margin of a given rule, calibrated on the rows themselves."""
+    rule = F.col("total_rounds") + F.when(F.col("ipo"), 2.0).otherwise(0.0) - F.coalesce(F.col("age"), F.lit(0)) / F.lit(3650.0)
+    scored = stage(features(spark, folder).select("company_id", F.col(LABEL).alias("label"), rule.alias("margin")), "rule")
+    found = calibration.calibrate(scored, cells=40)
+    return search.highest_chances(scored.where("company_id is not null").select("company_id", found.chance(F.col("margin")).alias("chance")))

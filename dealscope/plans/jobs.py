@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dealscope.functions.scalars import DEFAULT_AS_OF
 from dealscope.operators import explore
+from dealscope.operators.calibration import calibrate
 from dealscope.operators.cleaning import company_features
 from dealscope.operators.preprocess import fit_binarizers
-from dealscope.operators.search import (FIT_PARTITIONS, Candidate, acquisition_chance, evaluate, full_grid, grid_search)
+from dealscope.operators.search import (FIT_PARTITIONS, Candidate, acquisition_chance, evaluate, full_grid, grid_search,
+                                        held_out_margins)
 from dealscope.operators.split import stratified_split, train_columns
 from dealscope.sources.files import read_part, write_csv, write_split
 from dealscope.sources.tables import SourceTables
@@ -65,8 +67,10 @@ def model_job(spark: SparkSession, folder: str, candidates: Sequence[Candidate]
                         parallelism, seed=seed, folder=f"{folder}/fold_scores", partitions=partitions)
     found.scores.write.mode("overwrite").parquet(f"{folder}/scores")
     found.model.write().overwrite().save(f"{folder}/model")
-    if hasattr(found.model.stages[-1], "getProbabilityCol"):
-        acquisition_chance(found.model, features).write.mode("overwrite").parquet(f"{folder}/chances")
+    calibration = None
+    if not hasattr(found.model.stages[-1], "getProbabilityCol"):
+        calibration = calibrate(held_out_margins(train, fit_binarizers(features), found.best, folds, seed=seed, partitions=partitions))
+    acquisition_chance(found.model, features, calibration=calibration).write.mode("overwrite").parquet(f"{folder}/chances")
     report = evaluate(found.model, test).select(
         F.lit(found.best.family).alias("family"), F.lit(str(found.best)).alias("params"),
         F.lit(found.best_score).alias("best_score"), "precision", "recall", "f1")

@@ -252,6 +252,29 @@ def _fold_statistics() -> str:
 FOLD = ("cast(case when place <= label_rows // 3 + (label_rows % 3 > 0)::int then 0 "
         "when place <= 2 * (label_rows // 3) + least(label_rows % 3, 2) then 1 else 2 end as int) as fold")
 
+RESAMPLED = f"""
+turns as (select age_bucket, cast(is_acquired as int) as positive, turn, md5('0|' || cast(turn as varchar) || '|' || cast(copy as varchar) || '|' || identity) as digest
+ from (select *, row_number() over (partition by identity) - 1 as copy from (
+  select cast(floor(age / 1825.0) as bigint) as age_bucket, is_acquired, {_key_text()} as identity from features where age is not null)),
+      (select unnest(range(25)) as turn)),
+draws as (select age_bucket, positive, 8 * turn + draw as resample, cast('0x' || substr(digest, 4 * draw + 1, 4) as int) as uniform
+ from turns, (select unnest(range(8)) as draw) as d(draw)),
+times as (select *, case when uniform < 24109 then 0 when uniform < 48218 then 1 when uniform < 60273 then 2 when uniform < 64291 then 3
+ when uniform < 65296 then 4 when uniform < 65497 then 5 when uniform < 65530 then 6 when uniform < 65535 then 7 else 8 end as times from draws),
+shares as (select age_bucket, sum(times * positive) / nullif(sum(times), 0) as share from times group by age_bucket, resample),
+ordered as (select age_bucket, list_sort(list(share) filter (where share is not null)) as shares from shares group by age_bucket)"""
+
+PAV = """
+rule as (select company_id, is_acquired, total_rounds + case when ipo then 2.0::double else 0.0::double end
+ - coalesce(age, 0) / 3650.0::double as margin from features),
+ends as (select min(margin) as low, (max(margin) - min(margin)) / 40 as width from rule),
+placed as (select *, least(cast(floor((margin - low) / width) as bigint), 39) as cell from rule, ends),
+cells as (select cell, count(*) as n, count(*) filter (where is_acquired) as k from placed group by cell),
+runs as (select a.cell as first, b.cell as last, sum(c.k) / sum(c.n) as share
+ from cells a join cells b on a.cell <= b.cell join cells c on c.cell between a.cell and b.cell group by a.cell, b.cell),
+below as (select cell, first, min(share) as share from cells join runs on first <= cell and last >= cell group by cell, first),
+chances as (select cell, max(share) as chance from below group by cell)"""
+
 METRICS = f"""
 select tp, fp, fn, {rnd("tp / (tp + fp)")} as precision, {rnd("tp / (tp + fn)")} as recall,
        {rnd("2 * tp / (2 * tp + fp + fn)")} as f1
@@ -358,4 +381,12 @@ def oracle() -> dict[str, str]:
             f"select is_acquired, count(*) as rows, {rnd('sum(count(*)) over () / (2.0 * count(*))')} as weight "
             "from features group by is_acquired"),
         "classification_metrics": sql(METRICS),
+        "eda_age_rate_resampled": sql(
+            f"select age_bucket, {rnd('rate')} as rate, companies, {rnd('shares[cast(ceil(len(shares) * 0.025::double) as int)]')} as low, "
+            f"{rnd('shares[cast(ceil(len(shares) * 0.975::double) as int)]')} as high from ordered join ("
+            "select cast(floor(age / 1825.0) as bigint) as age_bucket, avg(cast(is_acquired as int)) as rate, count(*) as companies "
+            "from features where age is not null group by 1) using (age_bucket)", RESAMPLED),
+        "calibrated_chance": sql(
+            f"select company_id, {rnd('100 * max(chance)', 2)} as chance_percent from placed join chances using (cell) "
+            "where company_id is not null group by company_id", PAV),
     }
