@@ -8,7 +8,7 @@ from pyspark.ml.feature import Imputer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from dealscope.operators import (calibration, cleaning, company, degrees, encoding, explore, fold_fit, imputers, metrics, preprocess, search,
+from dealscope.operators import (calibration, cleaning, company, degrees, encoding, explore, fold_fit, group_split, imputers, metrics, preprocess, search,
                                  split)
 from dealscope.operators.robust_line import fit_line
 from dealscope.schemas import LABEL, SOURCE_COLUMNS
@@ -376,6 +376,11 @@ def stratified_folds(spark, folder):
     return rounded(split.stratified_folds(features(spark, folder)))
 
 
+@query
+def split_by_company(spark, folder):
+    return rounded(group_split.company_split(features(spark, folder)))
+
+
 @query
 def fold_statistics(spark, folder):
     """What preprocessing finds for each fold in the rows of the others: fills of categories, means and divisors of numbers."""

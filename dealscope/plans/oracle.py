@@ -252,6 +252,30 @@ def _fold_statistics() -> str:
 FOLD = ("cast(case when place <= label_rows // 3 + (label_rows % 3 > 0)::int then 0 "
         "when place <= 2 * (label_rows // 3) + least(label_rows % 3, 2) then 1 else 2 end as int) as fold")
 
+BY_COMPANY = f"""
+owned as (select * from features where company_id is not null),
+signed as (select company_id, md5('0|' || cast(company_id as varchar)) as h, count(*) filter (where is_acquired) as yes,
+ count(*) filter (where is_acquired is distinct from true) as no from owned group by company_id),
+turns as (select *, row_number() over (order by yes + no desc, yes desc) as turn from (
+ select yes, no, count(*) as companies from signed group by yes, no)),
+dealt as (
+ select 0::bigint as turn, 0::bigint as yes, 0::bigint as no, 0::bigint as take, 0::double as lack_yes, 0::double as lack_no
+ union all
+ select turn, yes, no, take, lack_yes - take * yes, lack_no - take * no from (
+  select *, least(companies, greatest(0, cast(floor((lack_yes * yes + lack_no * no) / (yes * yes + no * no) + 0.5::double) as bigint))) as take from (
+   select turns.turn, turns.yes, turns.no, companies, lack_yes + 0.2::double * turns.yes * companies as lack_yes,
+    lack_no + 0.2::double * turns.no * companies as lack_no
+   from dealt join turns on turns.turn = dealt.turn + 1))),
+sides as (select company_id, row_number() over (partition by signed.yes, signed.no order by h, company_id) <= take as is_test
+ from signed join dealt on signed.yes = dealt.yes and signed.no = dealt.no and dealt.turn > 0),
+lone as (select *, md5('0|' || {_key_text()}) as h from features where company_id is null),
+lone_ranked as (select *, row_number() over (partition by is_acquired order by h) as place from lone),
+lone_sizes as (select is_acquired, count(*) as n, sum(count(*)) over () as total from lone group by is_acquired),
+lone_shares as (select *, total - ceil(0.2::double * total) as train_total, (total - ceil(0.2::double * total)) * n / total as exact from lone_sizes),
+lone_floors as (select *, row_number() over (order by exact - floor(exact) desc, is_acquired) as turn,
+ train_total - sum(floor(exact)) over () as spare from lone_shares),
+lone_quota as (select is_acquired, n - floor(exact) - case when turn <= spare then 1 else 0 end as test_rows from lone_floors)"""
+
 RESAMPLED = f"""
 turns as (select age_bucket, cast(is_acquired as int) as positive, turn, md5('0|' || cast(turn as varchar) || '|' || cast(copy as varchar) || '|' || identity) as digest
  from (select *, row_number() over (partition by identity) - 1 as copy from (
@@ -381,6 +405,10 @@ def oracle() -> dict[str, str]:
             f"select is_acquired, count(*) as rows, {rnd('sum(count(*)) over () / (2.0 * count(*))')} as weight "
             "from features group by is_acquired"),
         "classification_metrics": sql(METRICS),
+        "split_by_company": sql(
+            f"select {pick(FEATURE_COLUMNS)}, case when is_test then 'test' else 'train' end as split from owned join sides using (company_id) "
+            f"union all select {pick(FEATURE_COLUMNS)}, case when place <= test_rows then 'test' else 'train' end as split "
+            "from lone_ranked join lone_quota using (is_acquired)", BY_COMPANY).replace("with ", "with recursive ", 1),
         "eda_age_rate_resampled": sql(
             f"select age_bucket, {rnd('rate')} as rate, companies, {rnd('shares[cast(ceil(len(shares) * 0.025::double) as int)]')} as low, "
             f"{rnd('shares[cast(ceil(len(shares) * 0.975::double) as int)]')} as high from ordered join ("
