@@ -49,8 +49,10 @@ def identity(key: str, content: Column) -> dict[str, Column]:
 def only(docs: DataFrame, stay: DataFrame, key: str, content: Column) -> DataFrame:
     """The rows of ``docs`` whose identity is in ``stay``; rows that repeat an identity stay once.
 
-    One shuffle serves both the join and the removal of repeats.
+    One shuffle serves both the join and the removal of repeats. Each row of ``docs`` is one column meanwhile, so that
+    its columns may have any names.
     """
-    names = ["_none", "_key", "_content"]
-    marked = docs.withColumns(identity(key, content))
-    return marked.join(stay.select(*names), names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    marks = identity(key, content)
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), *[mark.alias(name) for name, mark in marks.items()])
+    left = marked.join(stay.select(*marks), list(marks), "left_semi").dropDuplicates(list(marks))
+    return left.select(*[F.col("_row")[name].alias(name) for name in docs.columns])
