@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dealscope.llm.tables import partitions
 from dealscope.llm.text import blocks
-from dealscope.llm.tokens import ENCODE_BYTES, library_encoder, shared_cache
+from dealscope.llm.tokens import ENCODE_BYTES, IdTable, library_encoder, shared
 from dealscope.session import stage
 
 CAPACITY = 2048
@@ -37,18 +37,18 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY,
                  key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of each document's ids followed by the end id."""
-    end = np.asarray([END_ID], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = shared_cache(f"library {tokenizer}", lambda: library_encoder(tokenizer))
+        table = shared(f"library {tokenizer}", lambda: IdTable(library_encoder(tokenizer)))
         for batch in batches:
             keys = batch.column(0)
             for first, part in blocks(batch.column(1), ENCODE_BYTES):
+                rows, ids, bounds = table.texts(part)
+                raw = memoryview(np.insert(ids, bounds[1:], END_ID).astype("<u4", copy=False).tobytes())
+                bounds = bounds + np.arange(len(bounds))
                 found: list[list] = [[], [], [], [], []]
-                for row, chunks in enumerate(cache.values(part.to_pylist())):
-                    ids = b"".join(chunks) + end
-                    for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                        crc = zlib.crc32(ids[4 * start:4 * (start + length)])
+                for row, begin, end in zip(rows.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    for piece, (start, length) in enumerate(cut(end - begin, capacity)):
+                        crc = zlib.crc32(raw[4 * (begin + start):4 * (begin + start + length)])
                         for column, value in zip(found, (first + row, piece, start, length, crc)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(

@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_CHUNKS = 500_000
 #: Texts are encoded in blocks of so many bytes, so that missing chunks are worked on together.
@@ -58,14 +60,95 @@ class ChunkCache:
         return [list(map(known.__getitem__, own)) for own in cut]
 
 
-_caches: dict[str, ChunkCache] = {}
+#: Bytes that beside a space may be white space, or part of it.
+_MAYBE_WHITE = np.zeros(256, bool)
+_MAYBE_WHITE[[*b" \t\n\v\f\r\x1c\x1d\x1e\x1f", *range(0x80, 0x100)]] = True
+
+
+def _careful(texts: pa.LargeStringArray) -> np.ndarray:
+    """Whether each text must be cut by ``_SAFE_CUT``; only texts with odd bytes beside a space are looked at one by one."""
+    careful = np.zeros(len(texts), bool)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    if offsets[-1] == offsets[0]:
+        return careful
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    space, white = data == 32, _MAYBE_WHITE[data]
+    odd = data == 0
+    odd[:-1] |= space[:-1] & white[1:]
+    odd[1:] |= white[:-1] & space[1:]
+    rows = np.unique(np.searchsorted(offsets - offsets[0], np.flatnonzero(odd), "right") - 1)
+    for row in rows.tolist():
+        text = texts[row].as_py()
+        careful[row] = "\0" in text or _white_beside_space(text)
+    return careful
+
+
+def chunk_array(texts: pa.LargeStringArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(chunks of all texts, number of chunks of each text, row of each text): texts to be cut with care come last."""
+    careful = _careful(texts)
+    plain = texts if not careful.any() else texts.filter(pa.array(~careful))
+    lists = pc.split_pattern(pc.replace_substring(plain, " ", "\0 "), "\0")
+    found, counts = [lists.flatten()], [pc.list_value_length(lists).to_numpy().astype(np.int64)]
+    for row in np.flatnonzero(careful).tolist():
+        own = _SAFE_CUT.split(texts[row].as_py())
+        found.append(pa.array(own, pa.large_string()))
+        counts.append(np.array([len(own)], np.int64))
+    return pa.concat_arrays(found), np.concatenate(counts), np.concatenate([np.flatnonzero(~careful), np.flatnonzero(careful)])
+
+
+class IdTable:
+    """Ids of distinct chunks in one array; the ids of texts are gathered from it by chunk numbers.
+
+    ``encode`` maps a list of distinct chunks to their ids as little-endian 32-bit numbers. No Python object is made for
+    a chunk that is known, nor for a place it stands at, but for one look-up per distinct chunk of a block.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_CHUNKS):
+        self.encode, self.limit = encode, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(0, "<u4")
+        self.starts = np.zeros(1, np.int64)
+
+    def _learn(self, missing: list[str]) -> None:
+        found = list(self.encode(missing))
+        self.number.update(zip(missing, range(len(self.number), len(self.number) + len(missing))))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+
+    def texts(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each text, ids of all texts in that order, offsets of the texts in them)."""
+        cut, counts, rows = chunk_array(texts)
+        coded = cut.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.number) > self.limit:
+            self._forget()
+        missing = [word for word in words if word not in self.number]
+        if missing:
+            self._learn(missing)
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        which = numbers[coded.indices.to_numpy()]
+        lengths = self.starts[which + 1] - self.starts[which]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.starts[which] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return rows, ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+
+
+_shared: dict[str, object] = {}
+
+
+def shared(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` makes, once for this worker process, which serves one task after another."""
+    if name not in _shared:
+        _shared[name] = make()
+    return _shared[name]
 
 
 def shared_cache(name: str, make: Callable[[], Callable[[list[str]], Iterable]]) -> ChunkCache:
-    """The cache of this worker process, which serves one task after another."""
-    if name not in _caches:
-        _caches[name] = ChunkCache(make())
-    return _caches[name]
+    return shared(name, lambda: ChunkCache(make()))
 
 
 def ranks(name: str) -> dict[bytes, int]:
