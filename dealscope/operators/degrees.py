@@ -9,6 +9,23 @@ from pyspark.sql import DataFrame, functions as F
 from dealscope.functions.scalars import degree_bucket
 from dealscope.schemas import DEGREES, OTHER, degree_columns
 
+#: A person with over a thousandth of the relationships, and over a thousand, counts as heavy.
+HEAVY_PEOPLE = 1_000
+
+
+def heavy_people(related: DataFrame, most: int = HEAVY_PEOPLE) -> DataFrame:
+    """Persons with very many rows in ``related``, ``most`` of them at the most.
+
+    Found by a sketch of frequent items that is merged over the partitions, so no row of ``related`` is moved for it. Its
+    errors decide only which way a person's rows are joined.
+    """
+    top = related.filter(F.col("person_object_id").isNotNull()).agg(
+        F.expr(f"approx_top_k(person_object_id, {most}, {10 * most})").alias("_top"), F.count("*").alias("_rows"))
+    return (top.select("_rows", F.explode("_top").alias("_t"))
+            .filter(F.col("_t.count") > F.greatest(F.col("_rows") / most, F.lit(most)))
+            .select(F.col("_t.item").alias("person_object_id")))
+
+
 def person_degrees(degrees: DataFrame, listed: Sequence[str] = DEGREES) -> DataFrame:
     """One row per person: how many degrees the person holds in each bucket."""
     bucket = degree_bucket(F.col("degree_type"), listed)
@@ -23,8 +40,8 @@ def degrees_by_company(relationships: DataFrame, degrees: DataFrame, listed: Seq
 
     Counts person-degree pairs; with ``distinct_people`` each person counts once per bucket.
     People are reduced to one row each first, so the many-to-many join becomes many-to-one
-    and its pairs are never written out. A person with very many relationships makes a
-    skewed partition on the side an inner join may split at run time.
+    and its pairs are never written out. Relationships of heavy persons stay where they are:
+    their degree rows, as many as there may be heavy persons, are broadcast to them.
     """
     names = degree_columns(listed)
     related = relationships.select("person_object_id", F.col("relationship_object_id").alias("company_id"))
@@ -32,7 +49,10 @@ def degrees_by_company(relationships: DataFrame, degrees: DataFrame, listed: Seq
     if distinct_people:
         related = related.distinct()
         held = held.select("person_object_id", *[F.least(F.col(n), F.lit(1)).alias(n) for n in names])
-    pairs = related.join(held, "person_object_id", "inner")
+    heavy = F.broadcast(heavy_people(related))
+    in_place = related.join(F.broadcast(held.join(heavy, "person_object_id", "left_semi")), "person_object_id")
+    others = related.join(heavy, "person_object_id", "left_anti").join(held, "person_object_id")
+    pairs = in_place.unionByName(others)
     return pairs.groupBy("company_id").agg(
         *[F.nullif(F.sum(name), F.lit(0).cast("bigint")).alias(name) for name in names])
 
