@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dealscope.llm.components import components
-from dealscope.llm.tables import identity, join_hot, only, text_or_empty
+from dealscope.llm.tables import identity, join_hot, maybe_among, only, text_or_empty
 from dealscope.llm.text import blocks, hash_family, mix, shingle_sets
 from dealscope.session import stage
 
@@ -131,10 +131,11 @@ class Forest:
                   .withColumn("group", self._group(self.depth)))
         shared = placed.groupBy("group").agg(F.count("*").alias("met")).where("met > 1")
         members = stage(placed.join(shared, "group").select("group", "tree", "label", "node", "first", "met"), "members")
-        wanted = members.select("node", F.col("first.*")).distinct().withColumnRenamed("content", "_content")
-        marked = docs.withColumns(identity("doc_id", content_hash(text)))
         names = ["_none", "_key", "_content"]
-        texts = marked.join(wanted.select(*names), names, "left_semi").select(F.col(text).cast("string").alias("text"))
+        wanted = stage(members.select(F.col("first.*")).withColumnRenamed("content", "_content").distinct(), "wanted")
+        marked = docs.withColumns(identity("doc_id", content_hash(text)))
+        # An inner join (``wanted`` has no repeats), as the optimizer would move a semi join before the filter.
+        texts = maybe_among(marked, wanted, names).join(wanted, names).select(F.col(text).cast("string").alias("text"))
         self.sets = stage(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
         info = self._info(members)
         # Texts with too many shingles of their own are like nothing else.

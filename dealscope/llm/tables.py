@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: A key with more than this share of the rows counts as hot; so at most ``HOT_PARTS`` keys are hot.
 HOT_PARTS = 1000
 
+#: Bits of a filter for each of its keys, and the most words of 64 bits it may have: some 64 MB.
+FILTER_BITS = 32
+FILTER_WORDS = 1 << 22
+
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -41,6 +45,27 @@ def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str,
     return in_place.unionByName(others)
 
 
+def maybe_among(rows: DataFrame, wanted: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``rows`` without most of those whose ``names`` are not in ``wanted``; none that is in it is lost.
+
+    A Bloom filter of one hash: the bits that ``wanted`` sets are united over its partitions into words, and the words, no
+    more than ``FILTER_WORDS`` of them, are broadcast to where the rows are read. So rows are sorted out before any
+    shuffle. With more wanted rows than bits the filter passes most rows; an exact join follows in any case.
+    """
+    count, words = wanted.count(), 1
+    while words * 64 < count * FILTER_BITS and words < FILTER_WORDS:
+        words *= 2
+    place = F.pmod(F.xxhash64(*names, F.lit("filter")), F.lit(words * 64)).cast("long")
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    bits = (wanted.select(word.alias("_word"), F.expr("1L").alias("_one"), bit.alias("_bit"))
+            .groupBy("_word").agg(F.bit_or(F.call_function("shiftleft", F.col("_one"), F.col("_bit"))).alias("_bits")))
+    # Each row is one column meanwhile, so that its columns may have any names.
+    tested = (rows.select(F.struct(*rows.columns).alias("_row"), word.alias("_at"), bit.alias("_bit"))
+              .join(F.broadcast(bits), F.col("_at") == F.col("_word"))
+              .where(F.call_function("getbit", F.col("_bits"), F.col("_bit")) == 1))
+    return tested.select(*[F.col("_row")[name].alias(name) for name in rows.columns])
+
+
 def identity(key: str, content: Column) -> dict[str, Column]:
     """Columns that tell documents apart, none of them null: by key and content."""
     return {"_none": F.col(key).isNull(), "_key": F.coalesce(F.col(key).cast("long"), F.lit(0)), "_content": content}

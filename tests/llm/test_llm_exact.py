@@ -11,7 +11,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from dealscope.llm import bpe, sketch
+from dealscope.llm import bpe, sketch, tokens
 from dealscope.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from dealscope.llm.packing import CAPACITY, Plan, cut, pack_documents
 from dealscope.llm.text import shingle_sets
@@ -163,6 +163,19 @@ def test_chunks_join_to_ids(encoding, text):
     assert sum((encoding.encode_ordinary(c) for c in chunks(text)), []) == encoding.encode_ordinary(text)
 
 
+def test_chunk_numbers_agree_with_chunks_one_by_one():
+    texts = ["", " ", "a b", "a  b", " a", "a ", "żółć 日本語", "a \n b", "x\u3000 y", "a\0 b", "\x1c a", "a b", "é b c", "tab\there so"]
+    cut, counts, rows = tokens.chunk_array(np_array(texts).cast("large_string"))
+    ends, flat = np.cumsum(counts), cut.to_pylist()
+    got = {int(row): [c for c in flat[end - count:end] if c] for row, count, end in zip(rows, counts, ends)}
+    assert got == {i: [c for c in chunks(t) if c] for i, t in enumerate(texts)}
+    table = tokens.IdTable(lambda missing: [np.frombuffer(m.encode(), np.uint8).astype("<u4").tobytes() for m in missing], limit=3)
+    for _ in range(3):
+        rows, ids, bounds = table.texts(np_array(texts).cast("large_string"))
+        assert {int(r): bytes(ids[a:b].astype(np.uint8)) for r, a, b in zip(rows, bounds, bounds[1:])} == {
+            i: t.encode() for i, t in enumerate(texts)}
+
+
 def neighbours(rows):
     rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
     for i, (key, text) in enumerate(rows):

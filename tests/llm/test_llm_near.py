@@ -9,6 +9,7 @@ import pyarrow as pa
 from dealscope.llm import chaining, ngram_join
 from dealscope.llm.components import components
 from dealscope.llm.ngram_join import drop_near_duplicates, last_depth, near_duplicates, recall
+from dealscope.llm.tables import maybe_among
 from dealscope.llm.text import Block, shingle_sets
 from llm_rows import LONG, ODD, documents
 
@@ -108,6 +109,24 @@ def test_join_odd_rows(odd, empty):
     assert drop_near_duplicates(empty).count() == 0
 
 
+def test_filter_loses_no_wanted_row_and_most_others(spark):
+    rows = spark.range(50_000).selectExpr("id as _key", "id % 3 as _content", "'t' || id as text", "7 as _bits")
+    wanted = rows.where("_key % 10 = 0").select("_key", "_content")
+    left = maybe_among(rows, wanted, ["_key", "_content"])
+    assert left.columns == rows.columns
+    keys = [r[0] for r in left.select("_key").collect()]
+    assert set(range(0, 50_000, 10)) <= set(keys) and len(keys) == len(set(keys)) < 5000 + 0.06 * 45_000
+    assert maybe_among(rows, wanted.where("false"), ["_key", "_content"]).count() == 0
+
+
+def test_texts_are_filtered_before_they_are_joined(spark):
+    """The optimizer keeps the filter below the exact join, so that what it drops is not shuffled."""
+    rows = spark.range(1000).selectExpr("id as _key", "'t' || id as text")
+    wanted = spark.range(0, 1000, 10).selectExpr("id as _key")
+    plan = maybe_among(rows, wanted, ["_key"]).join(wanted, ["_key"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner, (_key") < plan.index("getbit")
+
+
 def test_components(spark):
     chance = random.Random(2)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 300)] + [(chance.randrange(400, 600), chance.randrange(400, 600)) for _ in range(80)]
