@@ -66,15 +66,6 @@ def maybe_among(rows: DataFrame, wanted: DataFrame, names: Sequence[str]) -> Dat
     return tested.select(*[F.col("_row")[name].alias(name) for name in rows.columns])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that have ended.
-
-    Its cleaner learns of them by the driver's garbage collection, which a small driver may not do for long. Call it when
-    a table is staged and what led to it is not needed any more; it holds no data itself and changes no result.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def identity(key: str, content: Column) -> dict[str, Column]:
     """Columns that tell documents apart, none of them null: by key and content."""
     return {"_none": F.col(key).isNull(), "_key": F.coalesce(F.col(key).cast("long"), F.lit(0)), "_content": content}
