@@ -55,6 +55,8 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity
                     [keys.take(pa.array(found[0], pa.int64())), pa.array(found[1], pa.int32()),
                      *[pa.array(x, pa.int64()) for x in found[2:]]],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        # The worker waits for other tasks, beside the executor's JVM, and needs no spare memory meanwhile.
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(encode, _PIECES)
 

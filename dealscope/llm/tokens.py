@@ -99,8 +99,8 @@ def chunk_array(texts: pa.LargeStringArray) -> tuple[pa.Array, np.ndarray, np.nd
 class IdTable:
     """Ids of distinct chunks in one array; the ids of texts are gathered from it by chunk numbers.
 
-    ``encode`` maps a list of distinct chunks to their ids as little-endian 32-bit numbers. No Python object is made for
-    a chunk that is known, nor for a place it stands at, but for one look-up per distinct chunk of a block.
+    ``encode`` maps a list of distinct chunks to their ids as little-endian 32-bit numbers. Known chunks are one Arrow array, in
+    which those of a block are looked up at once: no Python object is made for a chunk that is known, nor kept for any.
     """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_CHUNKS):
@@ -108,29 +108,34 @@ class IdTable:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.ids = np.zeros(0, "<u4")
         self.starts = np.zeros(1, np.int64)
 
-    def _learn(self, missing: list[str]) -> None:
-        found = list(self.encode(missing))
-        self.number.update(zip(missing, range(len(self.number), len(self.number) + len(missing))))
+    def _learn(self, missing: pa.LargeStringArray) -> None:
+        found = list(self.encode(missing.to_pylist()))
+        self.known = pa.concat_arrays([self.known, missing])
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
 
+    def _numbers(self, words: pa.LargeStringArray) -> np.ndarray:
+        """Number of each of some distinct chunks, learnt where it is unknown."""
+        if len(self.known) > self.limit:
+            self._forget()
+        found = pc.index_in(words, value_set=self.known)
+        unknown = found.is_null().to_numpy(zero_copy_only=False)
+        numbers = found.fill_null(0).to_numpy().astype(np.int64)
+        if unknown.any():
+            numbers[unknown] = len(self.known) + np.arange(unknown.sum())
+            self._learn(words.filter(pa.array(unknown)))
+        return numbers
+
     def texts(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of each text, ids of all texts in that order, offsets of the texts in them)."""
         cut, counts, rows = chunk_array(texts)
         coded = cut.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.number) > self.limit:
-            self._forget()
-        missing = [word for word in words if word not in self.number]
-        if missing:
-            self._learn(missing)
-        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        which = numbers[coded.indices.to_numpy()]
+        which = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         lengths = self.starts[which + 1] - self.starts[which]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(self.starts[which] - ends[:-1], lengths) + np.arange(ends[-1])]
