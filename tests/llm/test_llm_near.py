@@ -274,3 +274,49 @@ def test_minimizers_are_shared_by_equal_stretches():
     hashes, index = chaining.minimizers(block)
     first, second = (set(hashes[block.row[index] == r].tolist()) for r in (0, 1))
     assert first & second
+
+
+def test_single_matches_are_told_apart_by_the_words_beside_them():
+    random = np.random.default_rng(7)
+    codes = [random.integers(1, 4, size=n).astype(np.uint16) for n in (40, 9, 300, 70, 1200, 5)]
+    codes += [random.integers(1, 60_000, size=400).astype(np.uint16) for _ in range(6)]
+    codes[7][100:117] = codes[8][200:217]
+    codes[9][100:130] = codes[10][10:40]
+    codes[9][300:] = chaining.HIDDEN
+    pairs, chained = [(0, 1), (2, 3), (4, 2), (5, 0), (7, 8), (9, 10), (9, 11), (6, 7)], []
+    for a, b in pairs:
+        places = np.column_stack([random.integers(0, len(codes[d]) - 4, size=30) for d in (a, b)])
+        places[0] = (100, 200) if (a, b) == (7, 8) else (100, 10) if (a, b) == (9, 10) else places[0]
+        chained.append(np.column_stack([np.arange(30), places]).astype("<i4"))
+    row = np.repeat(np.arange(len(pairs)), 30)
+    all_places = np.concatenate(chained).astype(np.int64)
+    texts = [chaining._Texts([codes[pair[side]].tobytes() for pair in pairs]) for side in (0, 1)]
+    wanted = ~chaining._hopeless(*texts, row, all_places[:, 1], all_places[:, 2])
+    assert 20 < wanted.sum() < len(wanted) - 20
+
+    def batch(**columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+    docs, others = [a for a, _ in pairs], [b for _, b in pairs]
+    beside, = chaining._beside_rows(iter([batch(doc=docs, other=others, chains=[c.tobytes() for c in chained],
+                                                other_codes=[codes[b].tobytes() for b in others])]))
+    assert {len(words) for words in beside.column("beside").to_pylist()} == {30 * 2 * 2 * chaining.BESIDE}
+    found, = chaining._hopeful_rows(iter([beside.append_column("codes", pa.array([codes[a].tobytes() for a in docs]))]))
+    got = {(r["doc"], r["other"]): r["chains"] for r in found.to_pylist()}
+    for k, pair in enumerate(pairs):
+        left = chained[k][wanted[row == k]]
+        assert got.get(pair, b"") == left.tobytes() and (len(left) > 0) == (pair in got)
+
+
+def test_pairs_of_lone_matches_do_not_meet_whole_texts(spark, monkeypatch):
+    """Two texts that share five words, and two that share sixty: the first two are sorted out before texts are aligned."""
+    texts = [[f"w{d}x{i}" for i in range(200)] for d in range(4)]
+    texts[1][50:55] = texts[0][20:25] = ["here", "are", "five", "shared", "words"]
+    texts[3][100:160] = texts[2][10:70]
+    staged = {}
+    keep = chaining.stage
+    monkeypatch.setattr(chaining, "stage", lambda df, name: staged.setdefault(name, keep(df, name)))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = chaining.repeated_passages(docs).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.source_id, r.source_start) for r in found] == [(3, 100, 160, 2, 10)]
+    assert staged["chains"].where("single").count() <= 1 and staged["hopeful"].count() == 0
