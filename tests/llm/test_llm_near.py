@@ -320,3 +320,58 @@ def test_pairs_of_lone_matches_do_not_meet_whole_texts(spark, monkeypatch):
     found = chaining.repeated_passages(docs).collect()
     assert [(r.doc_id, r.start_word, r.end_word, r.source_id, r.source_start) for r in found] == [(3, 100, 160, 2, 10)]
     assert staged["chains"].where("single").count() <= 1 and staged["hopeful"].count() == 0
+
+
+def test_passages_are_found_with_few_rows_in_python_at_a_time(spark, monkeypatch):
+    """Rows reach Python in small batches, as each may hold all words of two documents; the session's own number stays."""
+    chance = random.Random(5)
+    shared = words(chance, 60)
+    rows = [(i, " ".join(words(chance, 55) + shared * (i in (3, 1100)))) for i in range(1200)]
+    real = chaining._word_codes
+
+    def watched(min_words):
+        def run(batches):
+            def few():
+                for batch in batches:
+                    assert batch.num_rows <= 500
+                    yield batch
+            return real(min_words)(few())
+        return run
+
+    monkeypatch.setattr(chaining, "_word_codes", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = chaining.repeated_passages(documents(spark, rows).coalesce(1)).collect()
+    assert {(r.source_id, r.doc_id) for r in got} == {(3, 1100)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_keys_are_linked_alike_in_small_batches():
+    """Seeds and runs are linked among the same rows however many come at a time, and packed in parts."""
+    chance, slices = random.Random(6), 40
+    shared = words(chance, 60)
+    texts = [" ".join(words(chance, 50) + shared * (i % 7 == 0)) for i in range(300)]
+    whole = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), pa.array(texts)], names=["doc", "text"])
+
+    def unpacked(batches):
+        found = Counter()
+        largest = 0
+        for packed in chaining._seed_rows(50, slices)(iter(batches)):
+            largest = max(largest, sum(len(r["places"]) for r in packed.to_pylist()))
+            for r in packed.to_pylist():
+                docs = np.repeat(np.frombuffer(r["docs"], np.int64), chaining._numbers(r["counts"]))
+                if r["matched"]:
+                    others = np.repeat(np.frombuffer(r["others"], np.int64), chaining._numbers(r["counts"]))
+                    half = len(r["places"]) // 2
+                    found.update(zip([r["slice"]] * len(docs), docs.tolist(), others.tolist(), chaining._numbers(r["places"][:half]).tolist(),
+                                     chaining._numbers(r["places"][half:]).tolist()))
+                else:
+                    found.update(zip([r["slice"]] * len(docs), np.frombuffer(r["keys"], np.uint64).tolist(), docs.tolist(),
+                                     chaining._numbers(r["places"]).tolist()))
+        return found, largest
+
+    at_once, largest = unpacked([whole])
+    assert at_once == unpacked([whole.slice(k, 20) for k in range(0, 300, 20)])[0]
+    places = 4 * sum(2 if len(found) == 5 else 1 for found in at_once.elements())
+    assert largest < places / 3
+    cut = [(b.num_rows, full) for b, full in chaining._cut(iter([whole, whole.slice(0, 50)]), 130)]
+    assert cut == [(130, True), (130, True), (40, False), (50, False)]
